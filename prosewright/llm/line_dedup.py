@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from prosewright.llm._common import Scratch, components
 
 MIN_CHARS = 24
+#: Ids of candidates, 8 bytes each, that are sent to all executors at most.
+MOST_SENT = 2_000_000
 
 
 def normal(line: Column) -> Column:
@@ -83,7 +85,9 @@ def edit_links(scratch: Scratch, lines: DataFrame, tau: int) -> DataFrame:
     filed = sized(lines).select(F.col("id").alias("b"), F.explode(F.array(*_filed(F.col("norm"), F.col("len"), tau))).alias("key"))
     asked = sized(scratch.again(lines)).select(F.col("id").alias("a"), F.explode(F.array_compact(F.array(*_looked_up(F.col("norm"), F.col("len"), tau)))).alias("key"))
     met = scratch.cut(asked.join(filed, "key").filter("a != b").select("a", "b").distinct())
-    wanted = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = scratch.cut(met.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    if wanted.count() <= MOST_SENT:
+        wanted = F.broadcast(wanted)  # else the texts are dealt out by id
     texts = scratch.cut(scratch.again(lines).select("id", "norm").join(wanted, "id", "left_semi"))
     one, two = texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), scratch.again(texts).select(F.col("id").alias("b"), F.col("norm").alias("y"))
     return met.join(one, "a").join(two, "b").filter(F.levenshtein("x", "y", tau) >= 0).select("a", "b")
