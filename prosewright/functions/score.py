@@ -27,10 +27,8 @@ def _density(matches: Column, words: Column) -> Column:
     return matches / F.greatest(words / 200.0, F.lit(1.0))
 
 
-def tenths(text: Column) -> dict[str, Column]:
-    """Tenths by dimension; a null text counts as empty."""
-    t = T.text_of(text)
-    words, lines, sizes = T.words_ws(t), T.lines(t), T.sentence_sizes(t)
+def _tenths(t: Column, words: Column, lines: Column, sizes: Column) -> dict[str, Column]:
+    """Tenths by dimension, from a text, its number of words, its lines and its sentences' sizes."""
     has = lambda c: F.when(words == 0, 5).otherwise(c)
     bullets = F.size(F.filter(lines, lambda s: s.rlike("(?U)" + P.BULLET)))
     share = bullets / F.greatest(F.size(lines), F.lit(1))
@@ -55,8 +53,12 @@ def tenths(text: Column) -> dict[str, Column]:
 
 
 def dims(text: Column) -> Column:
-    """All dimensions as one struct of ints."""
-    return F.struct(*[c.cast("int").alias(k) for k, c in tenths(text).items()])
+    """All dimensions as one struct of ints; a null text counts as empty. What several of them need is worked out once."""
+
+    def all_of(t: Column, words: Column, lines: Column, sizes: Column) -> Column:
+        return F.struct(*[c.cast("int").alias(k) for k, c in _tenths(t, words, lines, sizes).items()])
+
+    return T.once(T.text_of(text), lambda t: T.once(T.words_ws(t), lambda w: T.once(T.lines(t), lambda n: T.once(T.sentence_sizes(t), lambda z: all_of(t, w, n, z)))))
 
 
 def overall(d: Column, weights: dict[str, float] | None = None) -> Column:

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is named there."""
+    return F.transform(F.array(value), use)[0]
+
+
 def text_of(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
