@@ -22,12 +22,14 @@ an equi-join that Spark can split where a segment is frequent, and only
 
 Defined results: a null or empty text has no lines to remove and stays as it
 is; a document whose lines all occur earlier keeps its row, with an empty text;
-rows with a null id are passed on unchanged; repeated rows of one id lose the
+ids are whole numbers; rows with a null id are passed on unchanged; repeated rows of one id lose the
 same lines; extra columns are passed on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ from prosewright.llm._common import Scratch, components
 MIN_CHARS = 24
 #: Ids of candidates, 8 bytes each, that are sent to all executors at most.
 MOST_SENT = 2_000_000
+#: More than any line number.
+PLACES = 2**31
 
 
 def normal(line: Column) -> Column:
@@ -65,25 +69,23 @@ def _filed(norm: Column, length: Column, tau: int) -> list[Column]:
 
 
 def _looked_up(norm: Column, length: Column, tau: int) -> list[Column]:
-    """Hashes of the substrings that can equal a segment of a line shorter by 0 to ``tau``."""
+    """Hashes of the substrings that can equal a segment of a line shorter by 0 to ``tau``.
+
+    All lie within a line of ``2 * tau + 1`` characters or more."""
     out = []
     for less in range(tau + 1):
         other = length - less
         for i, (start, size) in enumerate(_segments(other, tau)):
             low, high = max(-i, less - (tau - i)), min(i, less + (tau - i))
             for shift in range(low, high + 1):
-                at = start + shift
-                piece = F.substring(norm, at + 1, size)
-                inside = (at >= 0) & (at + size <= length)
-                out.append(F.when(inside, F.xxhash64(F.lit(i), other, piece)))
+                out.append(F.xxhash64(F.lit(i), other, F.substring(norm, start + shift + 1, size)))
     return out
 
 
 def edit_links(scratch: Scratch, lines: DataFrame, tau: int) -> DataFrame:
-    """Pairs ``a``, ``b`` of ids of written ``lines`` (id, norm, all distinct) at most ``tau`` edits apart."""
-    sized = lambda df: df.select("id", "norm", F.length("norm").alias("len"))
-    filed = sized(lines).select(F.col("id").alias("b"), F.explode(F.array(*_filed(F.col("norm"), F.col("len"), tau))).alias("key"))
-    asked = sized(scratch.again(lines)).select(F.col("id").alias("a"), F.explode(F.array_compact(F.array(*_looked_up(F.col("norm"), F.col("len"), tau)))).alias("key"))
+    """Pairs ``a``, ``b`` of ids of written ``lines`` (id, norm, len, all distinct) at most ``tau`` edits apart."""
+    filed = _under(lines, _filed, tau, "b")
+    asked = _under(scratch.again(lines), _looked_up, tau, "a")
     met = scratch.cut(asked.join(filed, "key").filter("a != b").select("a", "b").distinct())
     wanted = scratch.cut(met.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     if wanted.count() <= MOST_SENT:
@@ -93,14 +95,27 @@ def edit_links(scratch: Scratch, lines: DataFrame, tau: int) -> DataFrame:
     return met.join(one, "a").join(two, "b").filter(F.levenshtein("x", "y", tau) >= 0).select("a", "b")
 
 
+def _under(lines: DataFrame, keys: Callable[[Column, Column, int], list[Column]], tau: int, name: str) -> DataFrame:
+    """The id of each line, as ``name``, under each of its keys."""
+    # explode_outer: a plain explode has Catalyst build the (never empty) array twice, to test its size
+    keyed = lines.select(F.col("id").alias(name), F.array(*keys(F.col("norm"), F.col("len"), tau)).alias("keys"))
+    return keyed.select(name, F.explode_outer("keys").alias("key"))
+
+
 def repeated_lines(docs: DataFrame, tau: int = 2, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Occurrences to remove: ``doc_id``, ``line_no``, and the occurrence that stays, ``kept_doc``, ``kept_line``."""
-    if min_chars <= tau:
-        raise ValueError("lines need more characters than edits")
+    if min_chars <= 2 * tau:
+        raise ValueError("lines need more characters than twice the edits")
     scratch = Scratch(docs.sparkSession)
     found = _occurrences(docs, id_col, text_col, min_chars)
-    first = F.min(F.struct("doc_id", "line_no")).alias("first")
-    lines = scratch.cut(found.groupBy("norm").agg(first, F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    # one number instead of a struct keeps this a hash aggregate: lines are not sorted
+    whole = lambda value, digits: value.cast(f"decimal({digits},0)")
+    place = whole(F.col("doc_id"), 19) * whole(F.lit(PLACES), 10) + whole(F.col("line_no"), 10)
+    line_no = F.pmod(F.col("at"), whole(F.lit(PLACES), 10))
+    doc_id = F.expr(f"(at - pmod(at, {PLACES}BD)) div {PLACES}BD")
+    first = F.struct(doc_id.cast("long").alias("doc_id"), line_no.cast("int").alias("line_no")).alias("first")
+    lines = found.groupBy("norm").agg(F.min(place).alias("at"), F.count("*").alias("n"))
+    lines = scratch.cut(lines.select("norm", F.length("norm").alias("len"), first, "n", F.monotonically_increasing_id().alias("id")))
     parts = scratch.cut(components(scratch, edit_links(scratch, lines, tau)).withColumnRenamed("component", "class"))
     classed = scratch.cut(
         scratch.again(lines).select("id", "first", "n", *_key(F.col("norm"))).join(parts, "id", "left").filter("class is not null or n > 1")
