@@ -9,7 +9,10 @@ segments of even length, and some segment is left whole, so it occurs in the
 longer line, near its own place. Every distinct line files its segments under
 (length, number, hash) and looks up, for each length from its own down to
 ``tau`` less, the substrings that can match: the multi-match-aware window
-leaves 12 of them for two edits. Lines that meet are verified by Spark's own
+leaves 12 of them for two edits. Under a crowded segment lines don't meet in
+pairs: all lines that ask for one are cut into ``FINER`` segments, filed under
+the rarest ``tau + 1`` of these, and meet only if the parities of their letter
+counts allow ``tau`` edits; no link is lost. Lines that meet are verified by Spark's own
 banded ``levenshtein`` with threshold (the built-in has no bit-parallel form;
 one in SQL would run a lambda per character).
 
@@ -38,6 +41,12 @@ from prosewright.llm._common import Scratch, components
 MIN_CHARS = 24
 #: Ids of candidates, 8 bytes each, that are sent to all executors at most.
 MOST_SENT = 2_000_000
+#: A segment under which more lines than this are filed is crowded.
+CROWD = 4
+#: Segments of a line under a crowded key.
+FINER = 12
+#: Characters counted, odd or even, in a line's signature: any would do.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 .,-'éèàü"
 #: More than any line number.
 PLACES = 2**31
 
@@ -52,20 +61,21 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     return lines.select("doc_id", "line_no", normal(F.col("line")).alias("norm")).filter(F.length("norm") >= min_chars)
 
 
-def _segments(length: Column, tau: int) -> list[tuple[Column, Column]]:
-    """Start (from 0) and size of each segment: the last ones are longer by one where it doesn't divide."""
-    parts = tau + 1
+def _segment(length: Column, parts: int, i: Column | int) -> tuple[Column, Column]:
+    """Start (from 0) and size of segment ``i`` of ``parts``: the last ones are longer by one where it doesn't divide."""
+    i = F.lit(i)
     short = F.floor(length / parts).cast("int")
     longer = length % parts
-    out = []
-    for i in range(parts):
-        extra = F.greatest(longer - (parts - i), F.lit(0))
-        out.append((short * i + extra, short + (F.lit(parts - i) <= longer).cast("int")))
-    return out
+    return short * i + F.greatest(longer - (F.lit(parts) - i), F.lit(0)), short + (F.lit(parts) - i <= longer).cast("int")
+
+
+def _shifts(tau: int) -> list[tuple[int, int]]:
+    """(less, shift): how far a whole segment of a line shorter by ``less`` can have moved."""
+    return [(less, s) for less in range(tau + 1) for s in range(-tau, tau + 1) if abs(s) + abs(less - s) <= tau]
 
 
 def _filed(norm: Column, length: Column, tau: int) -> list[Column]:
-    return [F.xxhash64(F.lit(i), length, F.substring(norm, start + 1, size)) for i, (start, size) in enumerate(_segments(length, tau))]
+    return [F.xxhash64(F.lit(i), length, F.substring(norm, start + 1, size)) for i in range(tau + 1) for start, size in [_segment(length, tau + 1, i)]]
 
 
 def _looked_up(norm: Column, length: Column, tau: int) -> list[Column]:
@@ -75,26 +85,78 @@ def _looked_up(norm: Column, length: Column, tau: int) -> list[Column]:
     out = []
     for less in range(tau + 1):
         other = length - less
-        for i, (start, size) in enumerate(_segments(other, tau)):
+        for i in range(tau + 1):
+            start, size = _segment(other, tau + 1, i)
             low, high = max(-i, less - (tau - i)), min(i, less + (tau - i))
             for shift in range(low, high + 1):
                 out.append(F.xxhash64(F.lit(i), other, F.substring(norm, start + shift + 1, size)))
     return out
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """A written table of one long column, to be broadcast if it has at most ``MOST_SENT`` rows."""
+    return F.broadcast(df) if df.count() <= MOST_SENT else df
+
+
 def edit_links(scratch: Scratch, lines: DataFrame, tau: int) -> DataFrame:
     """Pairs ``a``, ``b`` of ids of written ``lines`` (id, norm, len, all distinct) at most ``tau`` edits apart."""
-    filed = _under(lines, _filed, tau, "b")
-    asked = _under(scratch.again(lines), _looked_up, tau, "a")
-    met = scratch.cut(asked.join(filed, "key").filter("a != b").select("a", "b").distinct())
+    again = scratch.again
+    filed, asked = _under(lines, _filed, tau, "b"), _under(again(lines), _looked_up, tau, "a")
+    crowds = scratch.cut(_under(again(lines), _filed, tau, "b").groupBy("key").count().filter(F.col("count") > CROWD).select("key"))
+    # a crowded key has one row without b, found by all who ask for it, those filed there included
+    filed = filed.join(_sent(crowds), "key", "left_anti").unionByName(again(crowds).select(F.lit(None).cast("long").alias("b"), "key"))
+    found = scratch.cut(asked.join(filed, "key").filter("b is null or a != b").select("a", "b").distinct())
+    crowded = scratch.cut(again(found).filter("b is null").select(F.col("a").alias("id")).distinct())
+    met = found.filter("b is not null").select("a", "b")
+    if crowded.head(1):
+        some = again(lines).select("id", "norm", "len").join(_sent(crowded), "id", "left_semi").repartition("id")
+        met = met.union(_crowded_meetings(scratch, scratch.cut(some.withColumn("sig", _letters(F.col("norm")))), tau))
+    met = scratch.cut(met.distinct())
     wanted = scratch.cut(met.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    if wanted.count() <= MOST_SENT:
-        wanted = F.broadcast(wanted)  # else the texts are dealt out by id
-    texts = scratch.cut(scratch.again(lines).select("id", "norm").join(wanted, "id", "left_semi"))
-    one, two = texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), scratch.again(texts).select(F.col("id").alias("b"), F.col("norm").alias("y"))
+    # beyond the bound the texts are dealt out by id
+    texts = scratch.cut(again(lines).select("id", "norm").join(_sent(wanted), "id", "left_semi"))
+    one, two = texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), again(texts).select(F.col("id").alias("b"), F.col("norm").alias("y"))
     return met.join(one, "a").join(two, "b").filter(F.levenshtein("x", "y", tau) >= 0).select("a", "b")
 
 
+def _letters(norm: Column) -> Column:
+    """One bit for each of ``LETTERS``: whether it occurs an odd number of times.
+
+    An edit changes at most two of these bits."""
+    odd = lambda c: (F.length(norm) - F.length(F.replace(norm, F.lit(c), F.lit("")))).bitwiseAND(F.lit(1)).cast("long")
+    bits = F.lit(0).cast("long")
+    for k, c in enumerate(LETTERS):
+        bits = bits.bitwiseOR(F.shiftleft(odd(c), k))
+    return bits
+
+
+def _crowded_meetings(scratch: Scratch, lines: DataFrame, tau: int) -> DataFrame:
+    """Candidates ``a``, ``b`` among written lines under crowded keys (id, norm, len, sig).
+
+    Each line is filed under the ``tau + 1`` rarest of ``FINER`` segments
+    (``tau`` edits leave one of them whole), and lines meet only if their
+    letter signatures are near enough."""
+    again, moves = scratch.again, F.array(*[F.struct(F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(s).alias("shift")) for i in range(FINER) for less, s in _shifts(tau)])
+    often = scratch.cut(_finely_filed(lines).groupBy("key").count())
+    ranked = _finely_filed(again(lines)).join(often, "key").groupBy("b").agg(F.first("sig").alias("sig_b"), F.array_sort(F.collect_list(F.struct("count", "key"))).alias("keys"))
+    filed = scratch.cut(ranked.select("b", "sig_b", F.explode(F.slice("keys", 1, tau + 1)["key"]).alias("key")))
+    other = (F.col("len") - F.col("m.less")).cast("int")
+    start, size = _segment(other, FINER, F.col("m.i"))
+    asked = again(lines).select("id", "norm", "len", "sig", F.explode(moves).alias("m")).select(
+        F.col("id").alias("a"), "sig", F.xxhash64(F.col("m.i"), other, F.substring("norm", start + F.col("m.shift") + 1, size)).alias("asked")
+    )
+    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_b"))) <= 2 * tau)
+    return asked.join(filed, (F.col("asked") == F.col("key")) & near).select("a", "b")
+
+
+def _finely_filed(lines: DataFrame) -> DataFrame:
+    """``b``, ``sig`` and ``key`` of all ``FINER`` segments of each line."""
+    start, size = _segment(F.col("len"), FINER, F.col("i"))
+    return lines.select("id", "norm", "len", "sig", F.explode(F.sequence(F.lit(0), F.lit(FINER - 1))).alias("i")).select(
+        F.col("id").alias("b"), "sig", F.xxhash64("i", "len", F.substring("norm", start + 1, size)).alias("key")
+    )
+
+
 def _under(lines: DataFrame, keys: Callable[[Column, Column, int], list[Column]], tau: int, name: str) -> DataFrame:
     """The id of each line, as ``name``, under each of its keys."""
     # explode_outer: a plain explode has Catalyst build the (never empty) array twice, to test its size
