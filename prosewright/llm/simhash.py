@@ -14,6 +14,11 @@ meet under an anchor are compared. Nothing is lost, and no anchor holds more
 than about ``replicas / anchors`` of the distinct fingerprints, because equal
 fingerprints are merged first: a group of copies, however large, is one row.
 
+The pipeline's stage (``keep_one_of_each``) is by similarity of the shingle
+sets, which such a radius cannot reach: at a Jaccard similarity of 0.8 the
+fingerprints differ in about 10 bits. Its candidates come from MinHash bands
+and are verified by the exact similarity of their sets.
+
 Defined results: a null or wordless text has fingerprint 0 and links like any
 other; a null id is kept as a row of its own group by fingerprint (its
 component is the smallest id of that component, null if there is none);
@@ -34,6 +39,12 @@ from prosewright.llm._common import Scratch, components
 
 HAMMING = 15
 CHUNK = 1 << 14
+#: MinHash bands and rows in each: at a similarity of 0.8 all bands of a pair differ in 3 of a million cases.
+BANDS, ROWS = 24, 4
+#: Ids of candidates, 8 bytes each, that are sent to all executors at most.
+MOST_SENT = 2_000_000
+_RANDOM = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
+_SALTS, _ODD = _RANDOM[0], _RANDOM[1] | np.uint64(1)
 
 
 def fingerprint(text: str | bytes | None, words: int = 4, seed: int = 42) -> int:
@@ -174,8 +185,108 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(docs).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, words: int = 5, max_bits: int = 4, pieces: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group; rows without an id stay."""
-    groups = simhash_groups(docs, words=words, max_bits=max_bits, pieces=pieces)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+def shingle_set(text: str | bytes | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The hashes of a text's distinct shingles, cut as for ``fingerprint``; a text of fewer words is one shingle."""
+    import xxhash
+
+    split = (text if isinstance(text, bytes) else (text or "").encode()).lower().split()
+    if not split:
+        return np.zeros(0, np.uint64)
+    digest, n = xxhash.xxh64_intdigest, max(1, len(split) - words + 1)
+    joined, at = b" ".join(split), [0]
+    for w in split:
+        at.append(at[-1] + len(w) + 1)
+    return np.unique(np.fromiter((digest(joined[at[i] : at[min(i + words, len(split))] - 1], seed) for i in range(n)), np.uint64, n))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One key for each band of a set's MinHash values; none for an empty set."""
+    if not len(shingles):
+        return np.zeros(0, np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(shingles), 1024):
+        np.minimum(least, ((shingles[k : k + 1024, None] ^ _SALTS) * _ODD).min(axis=0), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ column) * _ODD[:BANDS]
+        keys ^= keys >> np.uint64(31)
+    return keys
+
+
+def shingle_rows(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``doc_id``, ``same`` (equal for equal sets), ``keys`` and ``shingles``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for start in range(0, len(batch), 512):
+                part = batch.slice(start, 512)
+                sets = [shingle_set(t, words) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                same = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+                longs = [pa.array([x.view(np.int64) for x in column], pa.list_(pa.int64())) for column in (map(band_keys, sets), sets)]
+                yield pa.RecordBatch.from_arrays([part.column(0), same, *longs], ["doc_id", "same", "keys", "shingles"])
+
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return read.mapInArrow(rows, "doc_id long, same binary, keys array<long>, shingles array<long>")
+
+
+def _alike(x: str, y: str, similarity: float) -> Column:
+    """Whether two arrays of distinct values have that Jaccard similarity, exactly."""
+    one, two, slack = F.size(x), F.size(y), 1e-6
+    # common / (one + two - common) >= similarity, with common counted once
+    near = F.least(one, two) >= similarity * F.greatest(one, two) - slack
+    return near & (F.size(F.array_intersect(x, y)) * (1 + similarity) >= similarity * (one + two) - slack)
+
+
+def similar_sets(scratch: Scratch, keyed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``id`` and ``component`` of the sets in written ``keyed`` (id, keys) linked at that similarity; ``sets`` (id, shingles) is written too.
+
+    Sets meet in the buckets of their MinHash bands. In each bucket the
+    smallest id is compared with all others. Then, in buckets whose others are
+    not all linked by that, each set outside the component that most belong to
+    is compared with all sets of other components, within the join: a group of
+    near copies makes rows in proportion to its size, and no pair that meets
+    and could join two components goes unlooked at.
+    """
+    again = scratch.again
+    members = scratch.cut(keyed.select("id", F.explode("keys").alias("key")))
+    low = scratch.cut(again(members).groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).filter("n > 1").select("key", "low"))
+    others = scratch.cut(members.join(low, "key").filter("id != low").select("key", "id", "low"))
+    pairs = scratch.cut(again(others).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
+    wanted = scratch.cut(again(pairs).select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
+    some = scratch.cut(again(sets).select("id", "keys", "shingles").join(wanted, "id", "left_semi"))
+    one, two = again(some).select(F.col("id").alias("a"), F.col("shingles").alias("x")), again(some).select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    links = scratch.cut(pairs.join(two, "b").join(one, "a").filter(_alike("x", "y", similarity)).select("a", "b"))
+    linked = scratch.cut(components(scratch, again(links)))
+
+    rest = scratch.cut(again(others).select("key", "id").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    per = scratch.cut(again(rest).groupBy("key", "component").agg(F.count("*").alias("m")))
+    mixed = scratch.cut(per.groupBy("key").agg(F.max_by("component", "m").alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main"))
+    rest = scratch.cut(rest.join(mixed, "key").join(again(some), "id"))
+    c = F.col
+    out = again(rest).filter("component != main").select("key", c("id").alias("a"), c("component").alias("c"), c("keys").alias("k"), c("shingles").alias("x"))
+    all_ = again(rest).select("key", c("id").alias("b"), c("component").alias("d"), "main", c("keys").alias("l"), c("shingles").alias("y"))
+    # in the first bucket that both are in
+    once = (c("c") != c("d")) & ((c("a") < c("b")) | (c("d") == c("main"))) & (F.get(F.array_intersect("k", "l"), F.lit(0)) == out["key"])
+    more = scratch.cut(out.join(all_, (out["key"] == all_["key"]) & once & _alike("x", "y", similarity)).select("a", "b"))
+    return components(scratch, again(links).union(more))
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its group; rows without an id stay.
+
+    A group is linked by pairs of documents whose sets of ``words``-word
+    shingles have a Jaccard similarity of ``similarity`` or more."""
+    scratch = Scratch(docs.sparkSession)
+    own = scratch.cut(shingle_rows(docs, words).withColumn("id", F.monotonically_increasing_id()))
+    distinct = scratch.cut(own.groupBy("same").agg(F.min("doc_id").alias("first_id"), F.min("id").alias("id")))
+    chosen = scratch.again(own).select("id", "keys").join(distinct.select("id"), "id", "left_semi")
+    sets = scratch.cut(chosen)
+    linked = similar_sets(scratch, sets, own, similarity)
+    parts = scratch.cut(scratch.again(distinct).join(linked, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    least = scratch.cut(scratch.again(parts).groupBy("component").agg(F.min("first_id").alias("least_id")))
+    named = scratch.cut(parts.join(least, "component").select("same", "least_id"))
+    gone = scratch.again(own).select("doc_id", "same").join(named, "same").filter(F.col("doc_id") != F.col("least_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
