@@ -82,7 +82,9 @@ RULES: list[tuple[str, list[str]]] = [
 ]
 
 END = r"[.!?;:](?=\s|$)|\n"
-NOT_WORD = r"[^\p{L}\p{N}]+"
+#: Stands for the ends of sentences, in texts and in the book.
+CUT = "\x01"
+NOT_WORD = rf"[^\p{{L}}\p{{N}}{CUT}]+"
 
 
 def normal(sentence: str) -> str:
@@ -97,8 +99,18 @@ def rule_pattern(ids: list[str]) -> str:
 
 
 def known(sentences: dict[str, str]) -> dict[str, str]:
-    """Normal form to identifier. A sentence of the book that holds an end mark
-    is cut as a text would be, and its first part stands for it."""
+    """Normal form to identifier. A sentence of the book that holds end marks
+    keeps them, as ``CUT``: all its parts are compared."""
+    out: dict[str, str] = {}
+    for text, name in sentences.items():
+        form = CUT.join(p for p in map(normal, re.split(r"[.!?;:](?=\s|$)|\n", text)) if p)
+        if out.setdefault(form, name) != name:
+            raise ValueError(f"{name} and {out[form]} have one normal form")
+    return out
+
+
+def first_parts(sentences: dict[str, str]) -> dict[str, str]:
+    """The book of the SQL, in which a sentence's first part stands for it."""
     out = {}
     for text, name in sentences.items():
         first = next(p for p in re.split(r"[.!?;:](?=\s|$)|\n", text) if normal(p))
@@ -106,17 +118,24 @@ def known(sentences: dict[str, str]) -> dict[str, str]:
     return out
 
 
+def book_pattern(book: dict[str, str]) -> str:
+    """Any known form that fills whole parts of a text; where the book has an end mark, the text may have none."""
+    forms = sorted(book, key=len, reverse=True)
+    return f"(?<![^{CUT}])(" + "|".join(f.replace(CUT, f"[ {CUT}]") for f in forms) + f")(?![^{CUT}])"
+
+
 def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
     """The identifiers of a text's known sentences, in order."""
     book = known(sentences)
-    forms, names = F.array(*[F.lit(k) for k in book]), F.array(*[F.lit(v) for v in book.values()])
-    shortest, longest = min(map(len, book)), max(map(len, book))
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), END)
-    # normalising only drops characters or turns runs into one space: shorter parts cannot match
-    parts = F.filter(parts, lambda s: F.length(s) >= shortest)
-    normalised = F.transform(parts, lambda s: F.btrim(F.regexp_replace(s, NOT_WORD, " ")))
-    found = F.transform(F.filter(normalised, lambda s: F.length(s) <= longest), lambda s: F.array_position(forms, s).cast("int"))
-    return F.transform(F.filter(found, lambda k: k > 0), lambda k: F.element_at(names, k))
+    flat = {form.replace(CUT, " "): name for form, name in book.items()}
+    if len(flat) < len(book):
+        raise ValueError("two sentences differ in end marks only")
+    forms, names = F.array(*[F.lit(k) for k in flat]), F.array(*[F.lit(v) for v in flat.values()])
+    whole = F.translate(F.lower(F.coalesce(text, F.lit(""))), CUT, " ")
+    parts = F.regexp_replace(F.regexp_replace(whole, END, CUT), NOT_WORD, " ")
+    parts = F.btrim(F.regexp_replace(parts, f" *{CUT}[ {CUT}]*", CUT))
+    found = F.regexp_extract_all(parts, F.lit(book_pattern(book)), F.lit(1))
+    return F.transform(found, lambda s: F.element_at(names, F.array_position(forms, F.translate(s, CUT, " ")).cast("int")))
 
 
 def scan(
@@ -146,9 +165,9 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL, but for sentences of several parts."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    book = known(SENTENCES)
+    book = first_parts(SENTENCES)
     forms, names = ", ".join(map(quote, book)), ", ".join(map(quote, book.values()))
     hits = ", ".join(
         f"CASE WHEN regexp_matches(line, {quote(rule_pattern(ids).replace('(?= |$)', '( |$)'))}) THEN {quote(name)} END" for name, ids in RULES
