@@ -10,8 +10,9 @@ broadcast but the rule book's own literals.
 
 Normalising: A-Z and other letters to lower case, every run of characters that
 are neither letters nor digits to one space. Sentences end at ``.``, ``!``,
-``?``, ``;`` or ``:`` followed by white space or the end, and at line feeds;
-a full stop inside a number or a name ends nothing.
+``?``, ``;`` or ``:`` followed by white space or the end, and at blank lines;
+a full stop inside a number or a name ends nothing. A known sentence may be
+wrapped over lines, and may start or end at any line's start or end.
 
 Defined results: null, empty and unlicensed texts have no identifiers and no
 licences; whole texts are read; repeated sentences are repeated identifiers,
@@ -81,10 +82,10 @@ RULES: list[tuple[str, list[str]]] = [
     ("Unlicense", ["unlicense.notice"]),
 ]
 
-END = r"[.!?;:](?=\s|$)|\n"
+END = r"[.!?;:](?=\s|$)"
 #: Stands for the ends of sentences, in texts and in the book.
 CUT = "\x01"
-NOT_WORD = rf"[^\p{{L}}\p{{N}}{CUT}]+"
+NOT_WORD = rf"[^\p{{L}}\p{{N}}\n{CUT}]+"
 
 
 def normal(sentence: str) -> str:
@@ -119,9 +120,10 @@ def first_parts(sentences: dict[str, str]) -> dict[str, str]:
 
 
 def book_pattern(book: dict[str, str]) -> str:
-    """Any known form that fills whole parts of a text; where the book has an end mark, the text may have none."""
+    """Any known form that fills whole lines or sentences; where the book has an end mark, the text may have none."""
     forms = sorted(book, key=len, reverse=True)
-    return f"(?<![^{CUT}])(" + "|".join(f.replace(CUT, f"[ {CUT}]") for f in forms) + f")(?![^{CUT}])"
+    spaced = [f.replace(" ", r"[ \n]").replace(CUT, rf"[ \n{CUT}]") for f in forms]
+    return rf"(?<![^\n{CUT}])(" + "|".join(spaced) + rf")(?![^\n{CUT}])"
 
 
 def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
@@ -133,9 +135,11 @@ def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
     forms, names = F.array(*[F.lit(k) for k in flat]), F.array(*[F.lit(v) for v in flat.values()])
     whole = F.translate(F.lower(F.coalesce(text, F.lit(""))), CUT, " ")
     parts = F.regexp_replace(F.regexp_replace(whole, END, CUT), NOT_WORD, " ")
-    parts = F.btrim(F.regexp_replace(parts, f" *{CUT}[ {CUT}]*", CUT))
+    # blank lines, those of a comment included, end a sentence; single line feeds stay
+    parts = F.regexp_replace(F.regexp_replace(parts, r" ?\n ?", "\n"), r"\n\n+", CUT)
+    parts = F.btrim(F.regexp_replace(parts, rf"[ \n]?{CUT}[ \n{CUT}]*", CUT), F.lit(" \n"))
     found = F.regexp_extract_all(parts, F.lit(book_pattern(book)), F.lit(1))
-    return F.transform(found, lambda s: F.element_at(names, F.array_position(forms, F.translate(s, CUT, " ")).cast("int")))
+    return F.transform(found, lambda s: F.element_at(names, F.array_position(forms, F.translate(s, "\n" + CUT, "  ")).cast("int")))
 
 
 def scan(
@@ -165,7 +169,7 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB's SQL, but for sentences of several parts."""
+    """The same in DuckDB's SQL, but for sentences of several parts or lines."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     book = first_parts(SENTENCES)
     forms, names = ", ".join(map(quote, book)), ", ".join(map(quote, book.values()))

@@ -15,3 +15,16 @@ def test_each_rule_on_its_own_text(spark):
 def test_two_identifiers_of_one_form():
     with pytest.raises(ValueError):
         licences.known({"Some words: here": "a", "some words; HERE": "b"})
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// "])
+def test_wrapped_and_commented_headers(spark, prefix):
+    import textwrap
+
+    by_id = {n: t for t, n in licences.SENTENCES.items()}
+    paragraphs = [[by_id[i] + "." for i in ids] for _, ids in licences.RULES]
+    texts = ["\n".join(prefix + line for p in parts for line in [*textwrap.wrap(p, 40), ""]) for parts in paragraphs]
+    texts.append(f"{prefix}a line before\n{prefix}Licensed under the MIT License\n{prefix}a line after")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["licences"] for r in licences.scan(docs).orderBy("doc_id").collect()]
+    assert got == [["BSD-3-Clause", "BSD-2-Clause"] if name == "BSD-3-Clause" else [name] for name, _ in licences.RULES] + [["MIT"]]
