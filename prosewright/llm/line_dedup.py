@@ -1,32 +1,37 @@
 r"""Line dedup by a segment-partition edit join, with DataFrame functions only.
 
-Lines are compared in lower case and without white space at their ends. Lines
-of at least ``MIN_CHARS`` characters take part; shorter ones are never removed
-(too many honest lines are equal). Equal lines are merged first.
+Lines are compared in lower case and without white space at their ends. Equal
+lines are merged first, whatever their length; lines without a sign in them are
+no lines. Lines of at least ``EDIT_CHARS`` characters are also linked if they
+are at most ``tau`` edits apart: in shorter ones two edits make another line
+("chapter 12", "chapter 14").
 
 Two lines at most ``tau`` edits apart: cut the shorter one into ``tau + 1``
 segments of even length, and some segment is left whole, so it occurs in the
 longer line, near its own place. Every distinct line files its segments under
 (length, number, hash) and looks up, for each length from its own down to
 ``tau`` less, the substrings that can match: the multi-match-aware window
-leaves 12 of them for two edits. Under a crowded segment lines don't meet in
-pairs: all lines that ask for one are cut into ``FINER`` segments, filed under
-the rarest ``tau + 1`` of these, and meet only if the parities of their letter
-counts allow ``tau`` edits; no link is lost. Lines that meet are verified by Spark's own
-banded ``levenshtein`` with threshold (the built-in has no bit-parallel form;
-one in SQL would run a lambda per character).
+leaves 12 of them for two edits, of which three are its own. The index holds
+one row per key, with its smallest and largest line and their number. Under a
+crowded key lines don't meet in pairs: all lines that ask for one are cut into
+``FINER`` segments, filed under the rarest ``tau + 1`` of these, and meet only
+if the parities of their letter counts allow ``tau`` edits; no link is lost.
+
+Lines that meet are verified by a banded bit-parallel automaton (``within``):
+one long holds, for each number of edits, the diagonals of the band that are
+reached, and a character is a few shifts and masks on it.
 
 Lines linked directly or through others form a class; of all occurrences of a
 class the first, by document id and line number, stays.
 
-No group is gathered anywhere: merging is a partial aggregate, the look-up is
-an equi-join that Spark can split where a segment is frequent, and only
+No group is gathered anywhere: merging is a partial aggregate, the index is
+another, the look-up is an equi-join against one row per key, and only
 (document, line number) pairs of repeated lines return to the documents.
 
 Defined results: a null or empty text has no lines to remove and stays as it
 is; a document whose lines all occur earlier keeps its row, with an empty text;
 ids are whole numbers; rows with a null id are passed on unchanged; repeated rows of one id lose the
-same lines; extra columns are passed on.
+same lines; extra columns, whatever their names, are passed on.
 """
 
 from __future__ import annotations
@@ -36,13 +41,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosewright.llm._common import Scratch, components
+from prosewright.llm._common import Scratch, components, fresh
 
-MIN_CHARS = 24
+#: Lines of so many characters are linked by edits too, shorter ones if equal.
+EDIT_CHARS = 24
 #: Ids of candidates, 8 bytes each, that are sent to all executors at most.
 MOST_SENT = 2_000_000
-#: A segment under which more lines than this are filed is crowded.
-CROWD = 4
+#: A key under which more lines than these two are filed is crowded: its index row names two.
+CROWD = 2
 #: Segments of a line under a crowded key.
 FINER = 12
 #: Characters counted, odd or even, in a line's signature: any would do.
@@ -55,10 +61,10 @@ def normal(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(" \t\r")))
 
 
-def _occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """doc_id, line_no (from 0) and the normal form of every line that takes part."""
+def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, line_no (from 0) and the normal form of every line with a sign in it."""
     lines = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", normal(F.col("line")).alias("norm")).filter(F.length("norm") >= min_chars)
+    return lines.select("doc_id", "line_no", normal(F.col("line")).alias("norm")).filter("norm != ''")
 
 
 def _segment(length: Column, parts: int, i: Column | int) -> tuple[Column, Column]:
@@ -79,7 +85,7 @@ def _filed(norm: Column, length: Column, tau: int) -> list[Column]:
 
 
 def _looked_up(norm: Column, length: Column, tau: int) -> list[Column]:
-    """Hashes of the substrings that can equal a segment of a line shorter by 0 to ``tau``.
+    """Hashes of the substrings, but for its own segments, that can equal a segment of a line shorter by 0 to ``tau``.
 
     All lie within a line of ``2 * tau + 1`` characters or more."""
     out = []
@@ -89,6 +95,8 @@ def _looked_up(norm: Column, length: Column, tau: int) -> list[Column]:
             start, size = _segment(other, tau + 1, i)
             low, high = max(-i, less - (tau - i)), min(i, less + (tau - i))
             for shift in range(low, high + 1):
+                if less == shift == 0:  # its own segment: the index row names both lines
+                    continue
                 out.append(F.xxhash64(F.lit(i), other, F.substring(norm, start + shift + 1, size)))
     return out
 
@@ -99,24 +107,63 @@ def _sent(df: DataFrame) -> DataFrame:
 
 
 def edit_links(scratch: Scratch, lines: DataFrame, tau: int) -> DataFrame:
-    """Pairs ``a``, ``b`` of ids of written ``lines`` (id, norm, len, all distinct) at most ``tau`` edits apart."""
-    again = scratch.again
-    filed, asked = _under(lines, _filed, tau, "b"), _under(again(lines), _looked_up, tau, "a")
-    crowds = scratch.cut(_under(again(lines), _filed, tau, "b").groupBy("key").count().filter(F.col("count") > CROWD).select("key"))
-    # a crowded key has one row without b, found by all who ask for it, those filed there included
-    filed = filed.join(_sent(crowds), "key", "left_anti").unionByName(again(crowds).select(F.lit(None).cast("long").alias("b"), "key"))
-    found = scratch.cut(asked.join(filed, "key").filter("b is null or a != b").select("a", "b").distinct())
-    crowded = scratch.cut(again(found).filter("b is null").select(F.col("a").alias("id")).distinct())
-    met = found.filter("b is not null").select("a", "b")
-    if crowded.head(1):
+    """Pairs ``a``, ``b`` of ids of written ``lines`` (id, norm, len; all distinct, a null ``norm`` takes no part) at most ``tau`` edits apart."""
+    again = lambda df: scratch.again(df).filter("norm is not null") if df is lines else scratch.again(df)
+    index = _under(again(lines), _filed, tau, "b").groupBy("key").agg(F.count("*").alias("n"), F.min("b").alias("low"), F.max("b").alias("high"))
+    few, none = F.col("n") <= CROWD, F.lit(None).cast("long")
+    asked = _under(again(lines), _looked_up, tau, "a").join(index.hint("shuffle_hash"), "key")
+    named = F.when(few, F.array_distinct(F.array("low", "high"))).otherwise(F.array(none))
+    pairs = asked.select("a", F.explode(named).alias("b"), none.alias("key"))
+    own = index.filter("n > 1").select(F.when(few, F.col("low")).alias("a"), F.when(few, F.col("high")).alias("b"), F.when(~few, F.col("key")).alias("key"))
+    # a pair, a line under a crowded key (b is null), or a crowded key
+    found = scratch.cut(pairs.union(own))
+    crowds = scratch.cut(again(found).filter("key is not null").select("key"))
+    met = found.filter("a is not null and b is not null").select("a", "b")
+    if crowds.head(1):
+        filed = _under(again(lines), _filed, tau, "b").join(_sent(crowds), "key", "left_semi").select(F.col("b").alias("id"))
+        crowded = scratch.cut(again(found).filter("a is not null and b is null").select(F.col("a").alias("id")).union(filed).distinct())
         some = again(lines).select("id", "norm", "len").join(_sent(crowded), "id", "left_semi").repartition("id")
         met = met.union(_crowded_meetings(scratch, scratch.cut(some.withColumn("sig", _letters(F.col("norm")))), tau))
-    met = scratch.cut(met.distinct())
+    met = scratch.cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = scratch.cut(met.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     # beyond the bound the texts are dealt out by id
     texts = scratch.cut(again(lines).select("id", "norm").join(_sent(wanted), "id", "left_semi"))
     one, two = texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), again(texts).select(F.col("id").alias("b"), F.col("norm").alias("y"))
-    return met.join(one, "a").join(two, "b").filter(F.levenshtein("x", "y", tau) >= 0).select("a", "b")
+    return met.join(one, "a").join(two, "b").filter(within(F.col("x"), F.col("y"), tau)).select("a", "b")
+
+
+def within(x: Column, y: Column, tau: int) -> Column:
+    """Whether two strings are at most ``tau`` edits apart, by a banded bit-parallel automaton.
+
+    The state is one long of ``tau + 1`` lanes. Bit ``d + tau`` of lane ``e``
+    says that with ``e`` edits the characters read of ``x`` and ``d`` more of
+    ``y`` are matched. A character of ``x`` moves all lanes and diagonals at
+    once: equal signs stay in their lane, a changed or left out character
+    steps one lane up, and characters put in close the lanes upwards.
+    """
+    lane = 2 * tau + 2
+    if lane * (tau + 1) > 63:
+        raise ValueError("the band does not fit into a long")
+    every = sum(1 << lane * e for e in range(tau + 1))
+    band = every * ((1 << 2 * tau + 1) - 1)
+    begin = sum(1 << lane * e + tau + d for e in range(tau + 1) for d in range(e + 1))
+    xs, ys = F.split(x, ""), F.split(y, "")
+    beside = [F.slice(ys, d + 1, F.greatest(F.size(ys), F.lit(1))) if d >= 0 else F.concat(F.array_repeat(F.lit(""), -d), ys) for d in range(-tau, tau + 1)]
+
+    def step(state: Column, at: Column) -> Column:
+        same = F.lit(0).cast("long")
+        for k in range(2 * tau + 1):
+            same = same.bitwiseOR(F.when(at["0"] == at[str(k + 1)], F.lit(every << k)).otherwise(F.lit(0)).cast("long"))
+        up = F.shiftleft(state, lane)
+        moved = state.bitwiseAND(same).bitwiseOR(up.bitwiseOR(F.shiftrightunsigned(up, 1)).bitwiseAND(F.lit(band)))
+        for _ in range(tau):
+            moved = moved.bitwiseOR(F.shiftleft(moved, lane + 1).bitwiseAND(F.lit(band)))
+        return F.when(F.coalesce(at["0"], F.lit("")) == "", state).otherwise(moved)
+
+    final = F.aggregate(F.arrays_zip(xs, *beside), F.lit(begin).cast("long"), step)
+    less = F.length(y) - F.length(x)
+    ends = F.get(F.array(*[F.lit(every << k).cast("long") for k in range(2 * tau + 1)]), less + tau)
+    return F.when(F.abs(less) <= tau, final.bitwiseAND(ends) != 0).otherwise(False)
 
 
 def _letters(norm: Column) -> Column:
@@ -164,24 +211,24 @@ def _under(lines: DataFrame, keys: Callable[[Column, Column, int], list[Column]]
     return keyed.select(name, F.explode_outer("keys").alias("key"))
 
 
-def repeated_lines(docs: DataFrame, tau: int = 2, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, tau: int = 2, edit_chars: int = EDIT_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Occurrences to remove: ``doc_id``, ``line_no``, and the occurrence that stays, ``kept_doc``, ``kept_line``."""
-    if min_chars <= 2 * tau:
+    if edit_chars <= 2 * tau:
         raise ValueError("lines need more characters than twice the edits")
     scratch = Scratch(docs.sparkSession)
-    found = _occurrences(docs, id_col, text_col, min_chars)
+    found = _occurrences(docs, id_col, text_col)
     # one number instead of a struct keeps this a hash aggregate: lines are not sorted
     whole = lambda value, digits: value.cast(f"decimal({digits},0)")
     place = whole(F.col("doc_id"), 19) * whole(F.lit(PLACES), 10) + whole(F.col("line_no"), 10)
     line_no = F.pmod(F.col("at"), whole(F.lit(PLACES), 10))
     doc_id = F.expr(f"(at - pmod(at, {PLACES}BD)) div {PLACES}BD")
     first = F.struct(doc_id.cast("long").alias("doc_id"), line_no.cast("int").alias("line_no")).alias("first")
-    lines = found.groupBy("norm").agg(F.min(place).alias("at"), F.count("*").alias("n"))
-    lines = scratch.cut(lines.select("norm", F.length("norm").alias("len"), first, "n", F.monotonically_increasing_id().alias("id")))
+    merged = found.groupBy("norm").agg(F.min(place).alias("at"), F.count("*").alias("n")).withColumn("len", F.length("norm"))
+    # a short line that occurs once is of no further use, nor are the words of a short one
+    merged = merged.filter((F.col("n") > 1) | (F.col("len") >= edit_chars))
+    lines = scratch.cut(merged.select(F.when(F.col("len") >= edit_chars, F.col("norm")).alias("norm"), "len", first, "n", *_key(F.col("norm")), F.monotonically_increasing_id().alias("id")))
     parts = scratch.cut(components(scratch, edit_links(scratch, lines, tau)).withColumnRenamed("component", "class"))
-    classed = scratch.cut(
-        scratch.again(lines).select("id", "first", "n", *_key(F.col("norm"))).join(parts, "id", "left").filter("class is not null or n > 1")
-    )
+    classed = scratch.cut(scratch.again(lines).select("id", "first", "n", "h1", "h2").join(parts, "id", "left").filter("class is not null or n > 1"))
     least = scratch.cut(classed.filter("class is not null").groupBy("class").agg(F.min("first").alias("class_first")))
     many = classed.join(least, "class", "left").select("h1", "h2", F.coalesce("class_first", "first").alias("stays"))
     at = found.select("doc_id", "line_no", *_key(F.col("norm")))
@@ -197,23 +244,24 @@ def _key(norm: Column) -> list[Column]:
     return [F.xxhash64(norm).alias("h1"), F.xxhash64(F.lit(1), norm).alias("h2")]
 
 
-def _by_document(gone: DataFrame) -> DataFrame:
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("__gone"))
+def _by_document(gone: DataFrame, name: str = "gone") -> DataFrame:
+    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias(name))
 
 
-def dedup_lines(docs: DataFrame, tau: int = 2, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, tau: int = 2, edit_chars: int = EDIT_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated lines taken out of the texts; columns and rows stay."""
-    gone = _by_document(repeated_lines(docs, tau, min_chars, id_col, text_col)).withColumnRenamed("doc_id", "__doc")
-    joined = docs.join(gone, docs[id_col] == gone["__doc"], "left")
-    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("__gone", i))
-    return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
+    doc, lines = fresh(docs, "doc", "gone")
+    gone = _by_document(repeated_lines(docs, tau, edit_chars, id_col, text_col), lines).withColumnRenamed("doc_id", doc)
+    joined = docs.join(gone, docs[id_col] == gone[doc], "left")
+    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains(lines, i))
+    return joined.withColumn(text_col, F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that loses lines, with their numbers: ``doc_id``, ``n_removed``, ``removed``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return _by_document(repeated_lines(docs)).select(
-        "doc_id", F.size("__gone").cast("long").alias("n_removed"), F.array_join(F.col("__gone").cast("array<string>"), ",").alias("removed")
+        "doc_id", F.size("gone").cast("long").alias("n_removed"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed")
     )
 
 
@@ -224,11 +272,11 @@ WITH RECURSIVE occ AS (
   SELECT doc_id, i - 1 AS line_no, lower(trim(parts[i], chr(32) || chr(9) || chr(13))) AS norm
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) d,
        LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i) r
-), used AS (SELECT * FROM occ WHERE length(norm) >= {MIN_CHARS}),
+), used AS (SELECT * FROM occ WHERE norm <> ''),
 lines AS (SELECT norm, length(norm) AS n, row_number() OVER (ORDER BY norm) AS id FROM (SELECT DISTINCT norm FROM used)),
 links AS (
   SELECT a.id AS a, b.id AS b FROM lines a JOIN lines b ON b.n BETWEEN a.n - 2 AND a.n AND a.id != b.id
-  WHERE levenshtein(a.norm, b.norm) <= 2
+  WHERE least(a.n, b.n) >= {EDIT_CHARS} AND levenshtein(a.norm, b.norm) <= 2
 ), twoway AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT a AS id, a AS other FROM twoway UNION SELECT r.id, e.b FROM reach r JOIN twoway e ON e.a = r.other),
 classes AS (SELECT l.norm, coalesce(min(r.other), l.id) AS class FROM lines l LEFT JOIN reach r ON r.id = l.id GROUP BY l.norm, l.id),
