@@ -2,6 +2,7 @@
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -15,7 +16,7 @@ def main() -> None:
     sf, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").config("spark.sql.files.maxPartitionBytes", "2m").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     took = {}
@@ -23,6 +24,7 @@ def main() -> None:
         began = time.time()
         catalogue.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 

@@ -1,4 +1,4 @@
-"""Phrase lists of the layer-1 scorers. The scores depend on them."""
+"""Phrase lists of the layer-1 scorers, extraction patterns, stopwords and enumerations. The results depend on them."""
 
 OPENERS = [
     r"^certainly[!.]",
@@ -23,28 +23,28 @@ OPENERS = [
     r"^in the (?:context|world|realm) of\b",
 ]
 
-# One phrase can match several of these; the matches add up.
-HEDGES = [
-    r"\b(?:it'?s|it is) worth (?:noting|mentioning|considering|pointing out|examining)\b",
-    r"\b(?:it'?s|it is) important to (?:note|recognize|acknowledge|understand|remember|consider|mention)\b",
-    r"\b(?:it'?s|it is) (?:also )?worth (?:noting|mentioning|considering)\b",
-    r"\b(?:it'?s|it is) essential to (?:note|recognize|understand|consider)\b",
-    r"\b(?:it'?s|it is) crucial to (?:note|remember|understand)\b",
-    r"\bmay potentially\b",
-    r"\bcould be considered\b",
-    r"\bone might argue\b",
-    r"\bto be (?:fair|clear|honest|precise)\b",
-    r"\b(?:i should|i would|i'?d) (?:note|mention|point out|clarify|add)\b",
-    r"\b(?:it'?s|it is) important to acknowledge\b",
-    r"\b(?:it'?s|it is) also worth mentioning\b",
-    r"\bone common pitfall\b",
-    r"\bone of the (?:most |key )?(?:common|key|important|critical|notable)\b",
-    r"\bin general,",
-    r"\bgenerally speaking,",
-    r"\bin many cases,",
-    r"\bas a general rule,",
-    r"\bwhat'?s interesting (?:here )?is\b",
-]
+# One phrase can match several of these; the matches add up. With each pattern: strings of which every match holds one.
+HEDGES = {
+    r"\b(?:it'?s|it is) worth (?:noting|mentioning|considering|pointing out|examining)\b": (" worth ",),
+    r"\b(?:it'?s|it is) important to (?:note|recognize|acknowledge|understand|remember|consider|mention)\b": (" important to ",),
+    r"\b(?:it'?s|it is) (?:also )?worth (?:noting|mentioning|considering)\b": (" worth ",),
+    r"\b(?:it'?s|it is) essential to (?:note|recognize|understand|consider)\b": (" essential to ",),
+    r"\b(?:it'?s|it is) crucial to (?:note|remember|understand)\b": (" crucial to ",),
+    r"\bmay potentially\b": ("may potentially",),
+    r"\bcould be considered\b": ("could be considered",),
+    r"\bone might argue\b": ("one might argue",),
+    r"\bto be (?:fair|clear|honest|precise)\b": ("to be fair", "to be clear", "to be honest", "to be precise"),
+    r"\b(?:i should|i would|i'?d) (?:note|mention|point out|clarify|add)\b": ("i should ", "i would ", "i'd ", "id "),
+    r"\b(?:it'?s|it is) important to acknowledge\b": (" important to acknowledge",),
+    r"\b(?:it'?s|it is) also worth mentioning\b": (" also worth mentioning",),
+    r"\bone common pitfall\b": ("one common pitfall",),
+    r"\bone of the (?:most |key )?(?:common|key|important|critical|notable)\b": ("one of the ",),
+    r"\bin general,": ("in general,",),
+    r"\bgenerally speaking,": ("generally speaking,",),
+    r"\bin many cases,": ("in many cases,",),
+    r"\bas a general rule,": ("as a general rule,",),
+    r"\bwhat'?s interesting (?:here )?is\b": ("s interesting ",),
+}
 
 CONTRACTIONS = [
     r"\b(?:don't|won't|can't|isn't|aren't|wasn't|weren't|hasn't|haven't|hadn't)\b",
@@ -70,19 +70,20 @@ CLOSINGS = [
     r"if you (?:need|want|have) (?:any )?(?:more|further|additional)",
 ]
 
-TRANSITIONS = [
-    r"\bfurthermore\b",
-    r"\bmoreover\b",
-    r"\badditionally\b",
-    r"\bin addition\b",
-    r"\bconsequently\b",
-    r"\b(?:it'?s|it is) (?:important|worth|crucial|essential) to (?:note|recognize|understand|consider)\b",
-    r"\bcannot be overstated\b",
-    r"\bprofound impact\b",
-    r"\bcritically important\b",
-]
+TRANSITIONS = {
+    r"\bfurthermore\b": ("furthermore",),
+    r"\bmoreover\b": ("moreover",),
+    r"\badditionally\b": ("additionally",),
+    r"\bin addition\b": ("in addition",),
+    r"\bconsequently\b": ("consequently",),
+    r"\b(?:it'?s|it is) (?:important|worth|crucial|essential) to (?:note|recognize|understand|consider)\b": (" important to ", " worth to ", " crucial to ", " essential to "),
+    r"\bcannot be overstated\b": ("cannot be overstated",),
+    r"\bprofound impact\b": ("profound impact",),
+    r"\bcritically important\b": ("critically important",),
+}
 
-BULLET = r"^\s*(?:[-*•]|\d+[.)]) \s*"
+# At the start of a line that may be indented.
+BULLET = r"(?<![^\n])[\t\x0b-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*+(?:[-*•]|\p{Nd}+[.)]) "
 
 NUMBER = (
     r"\$\d[\d,]*(?:\.\d+)?"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from prosewright.functions import patterns as P
 from prosewright.functions import text as T
+from prosewright.functions.text import fresh
 
 DIMENSIONS = ["opener_pattern", "hedging_density", "list_overuse", "sentence_variance", "contractions", "closing_pattern", "em_dash_density", "transition_overuse"]
 
@@ -27,42 +28,72 @@ def _density(matches: Column, words: Column) -> Column:
     return matches / F.greatest(words / 200.0, F.lit(1.0))
 
 
-def _tenths(t: Column, words: Column, lines: Column, sizes: Column) -> dict[str, Column]:
-    """Tenths by dimension, from a text, its number of words, its lines and its sentences' sizes."""
+def _read(t: Column, s: Column) -> dict[str, Column]:
+    """What is read off a text: ``t`` as it is, ``s`` without white space at its ends."""
+    return {"low": F.lower(t), "pieces": T.sentence_words(s), "first": F.substring_index(s, "\n", 1), "last": T.strip(F.substring_index(s, "\n\n", -1))}
+
+
+def _counted(t: Column, s: Column, low: Column, pieces: Column, first: Column, last: Column) -> dict[str, Column]:
+    """The numbers that the dimensions are made of, each worked out once."""
+    sizes = F.filter(pieces, lambda n: n >= 2)
+    add = lambda of: F.aggregate(sizes, F.lit(0).cast("long"), of)
+    return {
+        "words": F.aggregate(pieces, F.lit(0), lambda a, x: a + x),
+        "sentences": F.size(sizes),
+        "total": add(lambda a, x: a + x),
+        "squares": add(lambda a, x: a + x.cast("long") * x),
+        "lines": F.regexp_count(s, F.lit(T.FULL_LINE)),
+        "bullets": F.regexp_count(s, F.lit(P.BULLET)),
+        "hedges": T.count_all(t, low, P.HEDGES),
+        "transitions": T.count_all(t, low, P.TRANSITIONS),
+        # a contraction stands between word boundaries, so no two of them overlap: one pass counts all
+        "contractions": F.when(F.contains(t, F.lit("'")), F.regexp_count(t, F.lit("(?iU)" + "|".join(P.CONTRACTIONS)))).otherwise(0),
+        "dashes": T.count_of(t, "—") + T.count_of(t, "--"),
+        "opens": T.any_of(first, P.OPENERS, r"\A"),
+        "closes": T.any_of(F.concat(last, F.lit(" "), F.substring_index(last, "\n", -1)), P.CLOSINGS),
+    }
+
+
+def _tenths(words: Column, sentences: Column, total: Column, squares: Column, lines: Column, bullets: Column, hedges: Column, transitions: Column, contractions: Column, dashes: Column, opens: Column, closes: Column) -> dict[str, Column]:
+    """Tenths by dimension."""
     has = lambda c: F.when(words == 0, 5).otherwise(c)
-    bullets = F.size(F.filter(lines, lambda s: s.rlike("(?U)" + P.BULLET)))
-    share = bullets / F.greatest(F.size(lines), F.lit(1))
-    n = F.size(sizes)
-    total = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)
-    squares = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x * x)
+    n, safe = sentences, F.greatest(words, F.lit(1))
     spread = F.sqrt((n * squares - total * total) / F.greatest(n * (n - 1), F.lit(1)).cast("double")) / (total / F.greatest(n, F.lit(1)))
-    paragraphs = F.filter(F.transform(F.split(T.strip(t), "\n\n"), T.strip), lambda p: p != "")
-    last = F.coalesce(F.try_element_at(paragraphs, F.lit(-1)), F.lit(""))
-    tail = F.concat(last, F.lit(" "), F.element_at(F.split(last, "\n"), -1))
-    safe = F.greatest(words, F.lit(1))
     return {
-        "opener_pattern": F.when(T.any_of(T.first_line(t), P.OPENERS), 0).otherwise(10),
-        "hedging_density": has(_steps(_density(T.count_all(t, P.HEDGES), words), [(">=", 3, 1), (">=", 2, 3), (">=", 1, 5), (">=", 0.5, 8)], 10)),
-        "list_overuse": F.when(F.size(lines) == 0, 5).otherwise(_steps(share, [(">", 0.5, 1), (">", 0.25, 3), (">", 0.1, 5), (">", 0.05, 7)], 10)),
+        "opener_pattern": F.when(opens, 0).otherwise(10),
+        "hedging_density": has(_steps(_density(hedges, words), [(">=", 3, 1), (">=", 2, 3), (">=", 1, 5), (">=", 0.5, 8)], 10)),
+        "list_overuse": F.when(lines == 0, 5).otherwise(_steps(bullets / F.greatest(lines, F.lit(1)), [(">", 0.5, 1), (">", 0.25, 3), (">", 0.1, 5), (">", 0.05, 7)], 10)),
         "sentence_variance": F.when(n < 3, 5).otherwise(_steps(spread, [("<", 0.15, 1), ("<", 0.25, 3), ("<", 0.35, 5), ("<", 0.5, 7)], 9)),
-        "contractions": has(_steps(T.count_all(t, P.CONTRACTIONS) / safe, [("<", 0.005, 2), ("<", 0.015, 5), ("<", 0.035, 8)], 9)),
-        "closing_pattern": F.when(T.any_of(tail, P.CLOSINGS), 0).otherwise(10),
-        "em_dash_density": has(_steps(F.regexp_count(t, F.lit("—|--")) / safe * 500, [(">", 3.0, 1), (">", 1.5, 3), (">", 0.5, 5), (">", 0.2, 7)], 9)),
-        "transition_overuse": has(_steps(_density(T.count_all(t, P.TRANSITIONS), words), [(">=", 3, 1), (">=", 2, 3), (">=", 1, 5)], 9)),
+        "contractions": has(_steps(contractions / safe, [("<", 0.005, 2), ("<", 0.015, 5), ("<", 0.035, 8)], 9)),
+        "closing_pattern": F.when(closes, 0).otherwise(10),
+        "em_dash_density": has(_steps(dashes / safe * 500, [(">", 3.0, 1), (">", 1.5, 3), (">", 0.5, 5), (">", 0.2, 7)], 9)),
+        "transition_overuse": has(_steps(_density(transitions, words), [(">=", 3, 1), (">=", 2, 3), (">=", 1, 5)], 9)),
     }
 
 
-def dims(text: Column) -> Column:
-    """All dimensions as one struct of ints; a null text counts as empty. What several of them need is worked out once."""
-
-    def all_of(t: Column, words: Column, lines: Column, sizes: Column) -> Column:
-        return F.struct(*[c.cast("int").alias(k) for k, c in _tenths(t, words, lines, sizes).items()])
+def with_dims(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds ``<column>_dims``, all dimensions as one struct of ints; a null text counts as empty.
 
-    return T.once(T.text_of(text), lambda t: T.once(T.words_ws(t), lambda w: T.once(T.lines(t), lambda n: T.once(T.sentence_sizes(t), lambda z: all_of(t, w, n, z)))))
+    What several dimensions need stands in projections of its own, one after
+    the other, so that each value is worked out once and stays in generated code.
+    """
+    for column in columns:
+        kept = df.columns
+        t, s, *names = fresh(df, "t", "s", "low", "pieces", "first", "last")
+        out = df.withColumn(t, T.text_of(F.col(column))).withColumn(s, T.strip(F.col(t)))
+        read = _read(F.col(t), F.col(s))
+        out = out.withColumns(dict(zip(names, read.values(), strict=True)))
+        counted = _counted(F.col(t), F.col(s), **{k: F.col(n) for k, n in zip(read, names, strict=True)})
+        (numbers,) = fresh(df, "numbers")
+        # generated, not projected: a filter on a score would be pushed below the projections, and work all of it out again
+        out = out.select(*kept, F.explode_outer(F.array(F.struct(*[c.alias(k) for k, c in counted.items()]))).alias(numbers))
+        tenths = _tenths(**{k: F.col(f"{numbers}.{k}") for k in counted})
+        df = out.select(*kept, F.struct(*[c.cast("int").alias(k) for k, c in tenths.items()]).alias(f"{column}_dims"))
+    return df
 
 
 def overall(d: Column, weights: dict[str, float] | None = None) -> Column:
-    """The weighted mean of a struct from ``dims``; no or empty weights: all alike."""
+    """The weighted mean of a struct from ``with_dims``; no or empty weights: all alike."""
     if not weights:
         return sum((d[k] for k in DIMENSIONS[1:]), d[DIMENSIONS[0]]) / F.lit(80.0)
     used = {k: float(weights.get(k, 1.0)) for k in DIMENSIONS}
@@ -73,8 +104,8 @@ def overall(d: Column, weights: dict[str, float] | None = None) -> Column:
 
 
 def with_scores(df: DataFrame, columns: list[str], weights: dict[str, float] | None = None) -> DataFrame:
-    """Adds ``<column>_dims`` and ``<column>_score``; the structs stand in a projection of their own, so each is computed once."""
-    out = df.withColumns({f"{c}_dims": dims(F.col(c)) for c in columns})
+    """Adds ``<column>_dims`` and ``<column>_score``."""
+    out = with_dims(df, columns)
     return out.withColumns({f"{c}_score": overall(F.col(f"{c}_dims"), weights) for c in columns})
 
 

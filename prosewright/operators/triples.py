@@ -48,9 +48,18 @@ def with_deltas(scored: DataFrame) -> DataFrame:
     return out.withColumn("recovery_ratio", recovery(F.col("humanize_delta"), F.col("aiify_delta")))
 
 
+CLASSES = {"human": "original", "ai": "aiified", "humanized": "humanized"}
+
+
+def labelled_texts(triples: DataFrame, keep: list[str], labels: tuple[str, ...] = tuple(CLASSES)) -> DataFrame:
+    """One row for each text of a triple that has one of ``labels``."""
+    parts = ", ".join(f"'{label}', {CLASSES[label]}" for label in labels)
+    return triples.selectExpr(*keep, f"stack({len(labels)}, {parts}) AS (label, text)")
+
+
 def three_classes(scored: DataFrame, keep: list[str]) -> DataFrame:
     """Three labelled rows a triple, by one ``stack``."""
-    parts = ", ".join(f"'{label}', {c}, {c}_score, {c}_dims" for label, c in (("human", "original"), ("ai", "aiified"), ("humanized", "humanized")))
+    parts = ", ".join(f"'{label}', {c}, {c}_score, {c}_dims" for label, c in CLASSES.items())
     return scored.selectExpr(*keep, f"stack(3, {parts}) AS (label, text, overall_score, per_dim)")
 
 

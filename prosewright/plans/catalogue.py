@@ -38,7 +38,7 @@ HUMANIZED = "concat('Hi all, I don''t think it''s that simple, we''ve 42% and GD
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    docs = io.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
     rows = docs.withColumn("short", T.text_of(F.col("text")))
     return rows.select("doc_id", "lang", "source", F.expr(ORIGINAL).alias("original"), F.expr(AIIFIED).alias("aiified"), F.expr(HUMANIZED).alias("humanized"))
 
@@ -69,6 +69,9 @@ def _ladder(value: str, steps: list[tuple[str, float, int]], rest: int) -> str:
     return "CASE " + " ".join(f"WHEN {value} {sign} {bound} THEN {t}" for sign, bound, t in steps) + f" ELSE {rest} END"
 
 
+BULLET_SQL = r"^\s*(?:[-*•]|\d+[.)]) "
+
+
 def scored_sql(source: str, columns: list[str], keep: str) -> str:
     """CTEs up to ``scored``: ``<column>_<dimension>`` in tenths and ``<column>_score`` for each column of ``source``."""
     helpers, tenths, overall = [], [], []
@@ -79,7 +82,7 @@ def scored_sql(source: str, columns: list[str], keep: str) -> str:
         helpers.append(f"{_words(c)} AS {c}_w, {lines} AS {c}_lines, {sizes} AS {c}_sizes, coalesce(list_extract({paragraphs}, -1), '') AS {c}_last, string_split({_strip(c)}, chr(10))[1] AS {c}_first")
         w, n = f"{c}_w", f"len({c}_sizes)"
         density = lambda p, c=c, w=w: f"({_matches(c, p)} / greatest({w} / 200.0::DOUBLE, 1.0::DOUBLE))"
-        share = f"(len(list_filter({c}_lines, lambda s: regexp_matches(s, {_q(P.BULLET)}))) / greatest(len({c}_lines), 1)::DOUBLE)"
+        share = f"(len(list_filter({c}_lines, lambda s: regexp_matches(s, {_q(BULLET_SQL)}))) / greatest(len({c}_lines), 1)::DOUBLE)"
         total, squares = f"list_sum({c}_sizes)::DOUBLE", f"list_sum(list_transform({c}_sizes, lambda x: x * x))::DOUBLE"
         spread = f"(sqrt(({n} * {squares} - {total} * {total}) / greatest({n} * ({n} - 1), 1)::DOUBLE) / ({total} / greatest({n}, 1)))"
         tail = f"{c}_last || ' ' || list_extract(string_split({c}_last, chr(10)), -1)"
@@ -135,9 +138,10 @@ def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.score_triples(_texts(spark, sf_dir))
 
 
-def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.three_classes(_triples(spark, sf_dir), ["doc_id", "lang", "source"])
-    return rows.withColumnsRenamed({"overall_score": "score", "per_dim": "dims"})
+def _classes(spark: SparkSession, sf_dir: str, labels: tuple[str, ...] = ("human", "ai", "humanized")) -> DataFrame:
+    """Labelled rows with scores; only texts of the labels asked for are scored."""
+    rows = R.labelled_texts(_texts(spark, sf_dir), ["doc_id", "lang", "source"], labels)
+    return S.with_scores(rows, ["text"]).withColumnsRenamed({"text_score": "score", "text_dims": "dims"})
 
 
 # ---------------------------------------------------------------- scoring
@@ -150,7 +154,7 @@ def l1_dims(spark, sf_dir):
 @query(f"WITH raw AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {scored_sql('raw', ['t'], 'doc_id').strip()} SELECT doc_id, {', '.join(f't_{d} AS {d}' for d in S.DIMENSIONS)}, round(t_score, 6) AS overall FROM scored")
 def l1_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    return S.with_scores(docs, ["t"]).select("doc_id", "t_dims.*", F.round("t_score", 6).alias("overall"))
+    return S.with_scores(io.spread(docs), ["t"]).select("doc_id", "t_dims.*", F.round("t_score", 6).alias("overall"))
 
 
 _W = {"opener_pattern": 2.0, "closing_pattern": 0.5}
@@ -280,7 +284,8 @@ def triples_by_text(spark, sf_dir):
 
 @query(f"{CLASSES} SELECT doc_id, label, substr(text, 1, 120) AS text_preview, round(score, 4) AS overall_score FROM classes")
 def unpivot_3class(spark, sf_dir):
-    return _classes(spark, sf_dir).select("doc_id", "label", F.substring("text", 1, 120).alias("text_preview"), F.round("score", 4).alias("overall_score"))
+    rows = R.three_classes(_triples(spark, sf_dir), ["doc_id"])
+    return rows.select("doc_id", "label", F.substring("text", 1, 120).alias("text_preview"), F.round("overall_score", 4).alias("overall_score"))
 
 
 @query(f"{DELTAS} SELECT doc_id AS id, aiified AS input, humanized AS output, round(humanize_delta, 4) AS delta, round(recovery_ratio, 4) AS recovery_ratio FROM triples WHERE humanize_delta >= 0.15")
@@ -382,7 +387,7 @@ _BINARY = f"{CLASSES}, b AS (SELECT *, label = 'human' AS positive FROM classes
 
 
 def _binary(spark, sf_dir):
-    return _classes(spark, sf_dir).filter("label IN ('human', 'ai')").withColumn("positive", F.col("label") == "human")
+    return _classes(spark, sf_dir, ("human", "ai")).withColumn("positive", F.col("label") == "human")
 
 
 @query(f"{_BINARY} SELECT {_AREA.format(by_sel='')} FROM h p, h n WHERE p.positive AND NOT n.positive")
@@ -459,7 +464,7 @@ def dim_means(spark, sf_dir):
 
 @query(f"{CLASSES} SELECT count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(CAST(score < 0.5 AS INT)), 6) AS frac_below_05, round(avg(CAST(score < 0.7 AS INT)), 6) AS frac_below_07 FROM classes WHERE label = 'ai'")
 def ood_summary(spark, sf_dir):
-    return M.ood_summary(_classes(spark, sf_dir).filter("label = 'ai'"))
+    return M.ood_summary(_classes(spark, sf_dir, ("ai",)))
 
 
 @query(f"{DELTAS} SELECT coalesce(lang, 'all') AS domain, count(*) AS n, count(*) FILTER (humanize_delta > 0.15) AS ready, round(avg(original_score) + 1e-9, 6) AS mean_original, round(avg(aiified_score) + 1e-9, 6) AS mean_aiified, round(avg(humanized_score) + 1e-9, 6) AS mean_humanized, round(avg(aiify_delta) + 1e-9, 6) AS mean_aiify_delta, round(avg(humanize_delta) + 1e-9, 6) AS mean_humanize_delta FROM triples GROUP BY ROLLUP (lang)")

@@ -20,6 +20,17 @@ BENCHMARK = T.StructType(
 SEED = T.StructType([T.StructField(n, S) for n in ("id", "instruction", "response", "domain", "source", "discourse_role", "source_dataset", "length_band")] + [T.StructField("word_count", T.LongType()), T.StructField("anchors_count", T.LongType())])
 
 
+#: A table with less than this for each core is dealt out anew before costly work.
+SPREAD_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt out evenly over the cores: its few row groups would leave most of them idle. A large one is as it was."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(4 * cores) if size < cores * SPREAD_BYTES else df
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, missing_ok: bool = False) -> DataFrame:
     """Blank lines are skipped, a broken line raises; a missing path is empty with ``missing_ok``."""
     if missing_ok:
