@@ -37,6 +37,7 @@ same lines; extra columns, whatever their names, are passed on.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,7 +59,9 @@ PLACES = 2**31
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(" \t\r")))
+    # the ends are looked at first: trimming walks through the whole line
+    outer = reduce(Column.__or__, [test(line, F.lit(c)) for c in " \t\r" for test in (F.startswith, F.endswith)])
+    return F.lower(F.when(outer, F.btrim(line, F.lit(" \t\r"))).otherwise(line))
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -158,7 +161,8 @@ def within(x: Column, y: Column, tau: int) -> Column:
         moved = state.bitwiseAND(same).bitwiseOR(up.bitwiseOR(F.shiftrightunsigned(up, 1)).bitwiseAND(F.lit(band)))
         for _ in range(tau):
             moved = moved.bitwiseOR(F.shiftleft(moved, lane + 1).bitwiseAND(F.lit(band)))
-        return F.when(F.coalesce(at["0"], F.lit("")) == "", state).otherwise(moved)
+        # a dead state stays so: two lines that differ much cost little
+        return F.when((state == 0) | (F.coalesce(at["0"], F.lit("")) == ""), state).otherwise(moved)
 
     final = F.aggregate(F.arrays_zip(xs, *beside), F.lit(begin).cast("long"), step)
     less = F.length(y) - F.length(x)
