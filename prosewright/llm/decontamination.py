@@ -9,13 +9,22 @@ band of ``e + 1``. So shared q-grams are counted in diagonal bands of width
 ``w > e`` that overlap by ``e``; bands that reach the bound are verified by a
 banded alignment, whose free ends lie in the document.
 
+Places of an item whose q-gram it repeats often are left out of its index, and
+the bound is lowered by as many: ``e`` edits still spoil ``q * e`` of the places
+kept at most, so nothing is lost. An item that is made of repetition keeps what
+the bound needs; for such an item an exact find comes first. Shared q-grams are
+counted ``POSTINGS`` at a time, and a document longer than ``SLICE`` is read in
+windows that overlap by more than the longest match, so memory is bounded
+whatever a text repeats and however long it is.
+
 Items are read in blocks of at most ``BLOCK_CHARS`` characters, each against
 all documents, so what is shipped to the workers is bounded, however large the
 benchmark. Documents are worked on where they are read: nothing is shuffled.
 
 Defined results: null and empty texts and items match nothing; items of fewer
 than ``min_chars`` characters are too short to tell a leak from chance and are
-not searched for; repeated documents and items are reported as often as they
+not searched for; an item without an id is searched for and reported without
+one; repeated documents and items are reported as often as they
 occur; each document and item make one row at most, that of the fewest edits,
 and the leftmost of these; extra columns are not read.
 """
@@ -32,10 +41,14 @@ from pyspark.sql import functions as F
 
 Q = 10
 RATE = 0.08
-MIN_CHARS = 32
+MIN_CHARS = 16
 BLOCK_CHARS = 8_000_000
-#: Characters of documents worked on at once; a longer document goes alone.
+#: Characters of documents worked on at once.
 SLICE = 2_000_000
+#: Shared q-grams counted at once.
+POSTINGS = 2_000_000
+#: Places of an item with one q-gram, up to which all are in its index.
+REPEATS = 4
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 _BREAK = 0x110000
@@ -95,19 +108,34 @@ def banded(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -
 class Items:
     """The q-gram index of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float, min_chars: int, alone: bool = False):
+        """``alone``: the index of one item made of repetition, which an index of many leaves out."""
         kept = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if len(t) >= max(min_chars, Q)]
         self.ids, self.texts = [i for i, _ in kept], [t for _, t in kept]
         self.points = [_points(t) for t in self.texts]
         self.budget = np.array([edit_budget(len(t), rate) for t in self.texts], np.int64)
         self.size = np.array([len(t) for t in self.texts], np.int64)
-        self.needed = self.size - Q + 1 - Q * self.budget
         self.width = 1 << np.ceil(np.log2(np.maximum(self.budget + 1, 16))).astype(np.int64)
+        self.needed = np.zeros(len(kept), np.int64)
+        self.alone: dict[int, Items] = {}
+        self.grams = np.zeros(0, np.uint64)
         if not kept:
             return
-        grams = np.concatenate([gram_hashes(p) for p in self.points])
-        item = np.repeat(np.arange(len(kept)), self.size - Q + 1)
-        place = np.concatenate([np.arange(n - Q + 1) for n in self.size])
+        parts = []
+        for i, p in enumerate(self.points):
+            own = gram_hashes(p)
+            _, inverse, count = np.unique(own, return_inverse=True, return_counts=True)
+            often, spoilt = count[inverse], Q * int(self.budget[i])
+            most = max(REPEATS, int(np.sort(often)[spoilt]))  # one place more than edits can spoil
+            places = np.flatnonzero(often <= most)
+            self.needed[i] = len(places) - spoilt
+            if most > REPEATS and not alone:
+                self.alone[i] = Items([kept[i]], rate, min_chars, alone=True)
+                places = places[:0]
+            parts.append((own[places], places))
+        grams = np.concatenate([g for g, _ in parts])
+        item = np.repeat(np.arange(len(kept)), [len(g) for g, _ in parts])
+        place = np.concatenate([places for _, places in parts])
         order = np.argsort(grams, kind="stable")
         self.item, self.place = item[order], place[order]
         self.grams, self.first, self.count = np.unique(grams[order], return_index=True, return_counts=True)
@@ -116,11 +144,25 @@ class Items:
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(number of the text, number of the item, edits, start, end) of normal texts."""
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for i, index in self.alone.items():
+            for d, text in enumerate(texts):
+                k = text.find(self.texts[i])
+                if k >= 0:
+                    best[d, i] = 0, k, k + len(self.texts[i])
+                elif text:
+                    best.update({(d, i): (edits, start, end) for _, _, edits, start, end in index.search([text])})
+        for d, i, *got in self._counted(texts):
+            best[d, i] = tuple(got)
+        return [(d, i, *got) for (d, i), got in sorted(best.items())]
+
+    def _counted(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
+        """The same without items made of repetition."""
         joined = _points("".join(t + " " for t in texts))
         lengths = np.array([len(t) for t in texts], np.int64)
         starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
         joined[starts + lengths] = _BREAK
-        if len(joined) < Q or not self.ids:
+        if len(joined) < Q or not len(self.grams):
             return []
         hashes = gram_hashes(joined)
         at = np.flatnonzero(self.maybe[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)])
@@ -129,21 +171,21 @@ class Items:
         at, found = at[real], found[real]
         if not len(at):
             return []
-        n = self.count[found]
-        posting = np.repeat(self.first[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        place, item = np.repeat(at, n), self.item[posting]
-        doc = np.searchsorted(starts, place, side="right") - 1
-        reach = int(self.size.max())
-        diagonal = place - self.place[posting] - starts[doc] + reach
-        width = self.width[item]
-        band, within = diagonal // width, diagonal % width < self.budget[item]
-        band, item, doc = np.concatenate([band, band[within] - 1]), np.concatenate([item, item[within]]), np.concatenate([doc, doc[within]])
-        bands = int(band.max()) + 3
-        key, counts = np.unique((doc * len(self.ids) + item) * bands + band + 1, return_counts=True)
-        item = key // bands % len(self.ids)
-        enough = counts >= self.needed[item]
+        doc = np.searchsorted(starts, at, side="right") - 1
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for k in key[enough]:
+        reach = int(self.size.max())
+        bands = (int(lengths.max()) + reach) // 16 + 3
+        keys = counts = np.zeros(0, np.int64)
+        edges = np.cumsum(self.count[found])
+        begin = 0
+        while begin < len(at):
+            end = max(begin + 1, int(np.searchsorted(edges, (edges[begin - 1] if begin else 0) + POSTINGS, side="right")))
+            new = self._keys(at[begin:end] - starts[doc[begin:end]], doc[begin:end], found[begin:end], reach, bands)
+            keys, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([counts, np.ones(len(new), np.int64)]), len(keys)).astype(np.int64)
+            begin = end
+        item = keys // bands % len(self.ids)
+        for k in keys[counts >= self.needed[item]]:
             d, i = divmod(int(k) // bands, len(self.ids))
             low = (int(k) % bands - 1) * int(self.width[i]) - reach
             got = self._verified(d, i, low, low + int(self.width[i] + self.budget[i]), joined[starts[d] : starts[d] + lengths[d]])
@@ -151,6 +193,26 @@ class Items:
                 best[d, i] = got
         return [(d, i, *got) for (d, i), got in sorted(best.items())]
 
+    def search_long(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(number of the item, edits, start, end) of one text, window by window."""
+        overlap = int((self.size + 2 * self.budget).max(initial=0)) + Q
+        best: dict[int, tuple[int, int, int]] = {}
+        for at in range(0, max(len(text) - overlap, 1), SLICE):
+            for _, i, edits, start, end in self.search([text[at : at + SLICE + overlap]]):
+                best[i] = min(best.get(i, (edits, at + start, at + end)), (edits, at + start, at + end))
+        return [(i, *got) for i, got in sorted(best.items())]
+
+    def _keys(self, place: np.ndarray, doc: np.ndarray, found: np.ndarray, reach: int, bands: int) -> np.ndarray:
+        """A number for text, item and band, one for each shared q-gram (two where bands overlap)."""
+        n = self.count[found]
+        posting = np.repeat(self.first[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        place, doc, item = np.repeat(place, n), np.repeat(doc, n), self.item[posting]
+        diagonal = place - self.place[posting] + reach
+        width = self.width[item]
+        band, within = diagonal // width, diagonal % width < self.budget[item]
+        own = (doc * len(self.ids) + item) * bands
+        return np.concatenate([own + band + 1, (own + band)[within]])
+
     def _verified(self, d: int, i: int, low: int, high: int, text: np.ndarray) -> tuple[int, int, int] | None:
         e, m = int(self.budget[i]), int(self.size[i])
         start, end = max(0, low - e), min(len(text), high + m + e + 1)
@@ -183,7 +245,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
     """Items, read one partition at a time, in blocks of bounded size."""
     block, held = [], 0
     for row in benchmark.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).toLocalIterator():
-        if row[0] is None or not row[1]:
+        if not row[1]:
             continue
         if block and held + len(row[1]) > BLOCK_CHARS:
             yield block
@@ -194,17 +256,25 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
         yield block
 
 
-def _searcher(block: list[tuple[int, str]], rate: float, min_chars: int):
+def _searcher(block: list[tuple[int | None, str]], rate: float, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, names = Items(block, rate, min_chars), ["doc_id", "item_id", "edits", "start", "end"]
+
+        def rows_of(texts: list[str], own: list[int | None]) -> list[tuple]:
+            return [(own[d], items.ids[i], *rest) for d, i, *rest in items.search(texts)]
+
         for batch in batches:
             ids, rows, texts, own, held = batch.column(0).to_pylist(), [], [], [], 0
             for k, t in enumerate(batch.column(1)):
-                texts.append(normal(t.as_py()))
-                own.append(ids[k])
-                held += len(texts[-1])
-                if held >= SLICE or k == len(ids) - 1:
-                    rows += [(own[d], items.ids[i], *rest) for d, i, *rest in items.search(texts)]
+                text = normal(t.as_py())
+                if len(text) > SLICE:
+                    rows += [(ids[k], items.ids[i], *rest) for i, *rest in items.search_long(text)]
+                else:
+                    texts.append(text)
+                    own.append(ids[k])
+                    held += len(text)
+                if texts and (held >= SLICE or k == len(ids) - 1):
+                    rows += rows_of(texts, own)
                     texts, own, held = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=names)
 
