@@ -82,11 +82,13 @@ def viterbi(e: np.ndarray, mask: np.ndarray, chain: Chain) -> np.ndarray:
     return path
 
 
-def train(x: np.ndarray, y: np.ndarray, lengths: Sequence[int], states: int, steps: int = 60, rate: float = 0.2, l2: float = 1e-3, forbidden: np.ndarray | None = None) -> Chain:
-    """Maximum likelihood by Adam on whole batches. ``forbidden`` transitions keep a large negative score."""
+def train(x: np.ndarray, y: np.ndarray, lengths: Sequence[int], states: int, steps: int = 60, rate: float = 0.2, l2: float = 1e-3, forbidden: np.ndarray | None = None, n_features: int | None = None) -> Chain:
+    """Maximum likelihood by Adam on whole batches. ``forbidden`` transitions keep a large negative score.
+
+    ``x`` has a number for each feature, or with ``n_features`` the indices of the active ones."""
     lengths = np.asarray(lengths)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    params = [np.zeros((x.shape[1], states)), np.zeros((states, states)), np.zeros(states)]
+    params = [np.zeros((n_features or x.shape[1], states)), np.zeros((states, states)), np.zeros(states)]
     seen = np.zeros((states, states))
     same = np.ones(len(y), bool)
     same[starts] = False
@@ -98,7 +100,7 @@ def train(x: np.ndarray, y: np.ndarray, lengths: Sequence[int], states: int, ste
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
         chain = Chain(params[0], params[1] + fixed, params[2])
-        emissions, expected, moves = x @ chain.w, np.zeros_like(gold), np.zeros((states, states))
+        emissions, expected, moves = x @ chain.w if n_features is None else chain.w[x].sum(axis=1), np.zeros_like(gold), np.zeros((states, states))
         for g in groups:
             e, mask = padded(emissions, starts[g], lengths[g])
             p, mv, _ = forward_backward(e, mask, chain)
@@ -106,7 +108,12 @@ def train(x: np.ndarray, y: np.ndarray, lengths: Sequence[int], states: int, ste
             expected[rows] = p[mask]
             moves += mv
         diff = gold - expected
-        grads = [x.T @ diff, seen - moves, diff[starts].sum(axis=0)]
+        if n_features is None:
+            of_x = x.T @ diff
+        else:
+            of_x = np.zeros_like(params[0])
+            np.add.at(of_x, x.ravel(), np.repeat(diff, x.shape[1], axis=0))
+        grads = [of_x, seen - moves, diff[starts].sum(axis=0)]
         for i, g in enumerate(grads):
             g = g / len(y) - l2 * params[i]
             m[i] = 0.9 * m[i] + 0.1 * g
