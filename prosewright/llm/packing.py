@@ -160,14 +160,19 @@ def pack(items: Iterator[Item], limits: Limits, cut: bool) -> Iterator[tuple[int
     sizes = np.zeros((limits.pool, 3))
     unit = np.array([limits.tokens, 1.0 * limits.segments, limits.loss])
     items, sequence, more = iter(items), 0, True
-    while True:
-        while more and len(pool) < limits.pool:
+
+    def fill() -> bool:
+        """Fills the pool; whether there may be more items."""
+        while len(pool) < limits.pool:
             item = next(items, None)
             if item is None:
-                more = False
-                break
+                return False
             sizes[len(pool)] = (item.tokens, 1, item.loss)
             pool.append(item)
+        return True
+
+    while True:
+        more = more and fill()
         if not pool:
             return
         left, offset = unit.copy(), 0
@@ -192,6 +197,11 @@ def pack(items: Iterator[Item], limits: Limits, cut: bool) -> Iterator[tuple[int
             yield sequence, offset, item
             left -= (item.tokens, 1, item.loss)
             offset += item.tokens
+            if more and len(pool) < limits.pool // 2:
+                more = fill()  # a sequence of small items takes more of them than the pool holds
+                whole = offset + int(sizes[: len(pool), 0].sum())
+                if cut and not more and whole < room and (power := 1 << (whole.bit_length() - 1)) >= offset:
+                    left[0] = power - offset
         sequence += 1
 
 
@@ -230,7 +240,7 @@ def _pieces_schema() -> str:
 def pack_documents(
     docs: DataFrame,
     tokenizer: str,
-    limits: Limits = Limits(),
+    limits: Limits | None = None,
     separator: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -241,8 +251,9 @@ def pack_documents(
     ``length``, ``ids_crc32`` of its ids (little-endian, 32 bits each),
     ``doc_tokens`` (with the separator), ``sequence_id``, ``offset``. A
     document of more than one sequence is first cut into whole sequences; the
-    rests are packed.
+    rests are packed. Without ``limits`` those of ``DOCUMENTS`` hold.
     """
+    limits = limits or DOCUMENTS
     end = np.array([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,11 +332,34 @@ def pack_examples(
     return plain.mapInArrow(run, "id long, tokens long, loss_tokens long, sequence_id long, `offset` long")
 
 
+def conversation_sizes(turns: DataFrame, tokenizer: str, id_col: str = "conv_id", role_col: str = "role", text_col: str = "text", bearing: str = "assistant") -> DataFrame:
+    """One row per conversation: ``id``, ``tokens`` (each turn ends with a separator) and ``loss_tokens``, those of the turns of role ``bearing``.
+
+    Turns are counted where they lie and added up by a partial aggregate: a conversation of any length is one row a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer)
+        for batch in batches:
+            counts = [len(encode(t.as_py() or "")) // 4 + 1 for t in batch.column(2)]
+            loss = [n if r == bearing else 0 for n, r in zip(counts, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(loss, pa.int64())], names=["id", "tokens", "loss_tokens"])
+
+    plain = turns.select(F.col(id_col).cast("long").alias("id"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    sizes = plain.mapInArrow(run, "id long, tokens long, loss_tokens long")
+    return sizes.groupBy("id").agg(F.sum("tokens").alias("tokens"), F.sum("loss_tokens").alias("loss_tokens"))
+
+
 def _examples_batch(rows: list) -> pa.RecordBatch:
     names = ["id", "tokens", "loss_tokens", "sequence_id", "offset"]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
 
+#: Of instruction examples: sequences as for documents, few examples in one, and at most half of it to be learned.
+EXAMPLES = Limits(tokens=1024, segments=12, loss=512)
+#: Of documents: every token is learned, and a sequence may hold as many as it has tokens.
+DOCUMENTS = Limits(tokens=1024, segments=1024, loss=1024)
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -335,3 +369,9 @@ def vocabulary_path() -> str:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's query over all documents: sequences of at most 1024 tokens."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path())
+
+
+def packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, each whole, under limits on tokens, examples and tokens of the assistant's turns."""
+    sizes = conversation_sizes(spark.read.parquet(f"{sf_dir}/conversations.parquet"), vocabulary_path())
+    return pack_examples(sizes, EXAMPLES)

@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
+    "packing_conversations": packing.packing_conversations,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_licences": licences.op8_licences,
     "op9_pii": pii.op9_pii,
