@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosewright.functions import score as S
 from prosewright.sources.io import infer_domain
 
 
@@ -55,16 +56,36 @@ def extend_with_new_texts(base: DataFrame, more: DataFrame, scores: DataFrame) -
     fresh = more.filter(F.coalesce("text", F.lit("")) != "").join(base.select("text").distinct(), "text", "left_anti")
     w = Window.partitionBy("text").orderBy("row_idx")
     first = fresh.withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank")
-    scored = first.join(scores.select("id", "overall_score"), "id", "left")
+    scored = first.join(last_score(scores), "id", "left")
     source = F.coalesce("source", F.lit("unknown"))
     rows = scored.select("id", "label", F.lit(None).cast("string").alias("domain"), "text", source.alias("source"), F.when(F.col("label") == "human", "human").otherwise(source).alias("generator"), "overall_score")
     return base.unionByName(rows, allowMissingColumns=True).withColumn("domain", infer_domain(F.col("domain"), F.coalesce("source", F.lit("unknown"))))
 
 
+def last_score(scores: DataFrame) -> DataFrame:
+    """One score an id: of repeated ids the last one by ``row_idx`` where there is one, the largest otherwise."""
+    by = F.max_by("overall_score", "row_idx") if "row_idx" in scores.columns else F.max("overall_score")
+    return scores.groupBy("id").agg(by.alias("overall_score"))
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """Counts of a normalized dataset: ``what`` (samples, label, domain, preview_only), ``value`` and ``n``."""
+    keyed = F.explode(F.array(*[F.struct(F.lit(what).alias("what"), value.cast("string").alias("value"), one.cast("long").alias("one")) for what, value, one in (
+        ("samples", F.lit(""), F.lit(1)), ("label", F.col("label"), F.lit(1)), ("domain", F.col("domain"), F.lit(1)), ("preview_only", F.lit(""), F.coalesce("text_is_preview", F.lit(False)).cast("int")),
+    )]))
+    return rows.select(keyed.alias("k")).groupBy("k.what", "k.value").agg(F.sum("k.one").alias("n"))
+
+
 def split_core(rows: DataFrame) -> DataFrame:
     return rows.select(F.lit("core").alias("split"), "id", "label", F.coalesce("domain", F.lit("unknown")).alias("domain"), F.coalesce("text", F.lit("")).alias("text"), "overall_score")
 
 
+def rescored(rows: DataFrame) -> DataFrame:
+    """Rows without ``overall_score`` get layer 1's of their text; without a text they stay as they are."""
+    out = S.with_scores(rows, ["text"]).withColumn("overall_score", F.coalesce("overall_score", F.when(F.coalesce("text", F.lit("")) != "", F.col("text_score"))))
+    return out.select(*rows.columns)
+
+
 def split_ood(rows: DataFrame) -> DataFrame:
     return rows.filter("label = 'ai'").select(F.lit("ood").alias("split"), "id", "label", F.coalesce("domain", F.lit("unknown")).alias("domain"), F.coalesce("text", F.lit("")).alias("text"), "overall_score")
 

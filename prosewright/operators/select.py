@@ -15,9 +15,11 @@ def _best(rows: DataFrame, group: str, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank")
 
 
-def aiify_best(candidates: DataFrame) -> DataFrame:
-    """Per ``original`` the ``response`` within the length cap whose ``score`` is nearest the middle of the band; first row on ties."""
-    tier = (length_ratio(F.col("response"), F.col("original")) > LENGTH_CAP).cast("int")
+def aiify_best(candidates: DataFrame, text: Column | None = None) -> DataFrame:
+    """Per ``original`` the ``response`` within the length cap whose ``score`` is nearest the middle of the band; first row on ties.
+
+    ``text`` is the original's words where ``original`` is another key."""
+    tier = (length_ratio(F.col("response"), F.col("original") if text is None else text) > LENGTH_CAP).cast("int")
     return _best(candidates.withColumns({"tier": tier, "distance": F.abs(F.col("score") - MIDPOINT)}), "original", F.col("tier"), F.col("distance"), F.col("row_idx"))
 
 

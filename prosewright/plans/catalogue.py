@@ -15,6 +15,7 @@ from prosewright.functions import patterns as P
 from prosewright.functions import score as S
 from prosewright.functions import text as T
 from prosewright.operators import datasets as D
+from prosewright.operators import evaluate as E
 from prosewright.operators import gate as G
 from prosewright.operators import judge as J
 from prosewright.operators import metrics as M
@@ -175,9 +176,8 @@ def gate_l2(spark, sf_dir):
 
 @query(f"{SCORED} SELECT count(*) AS n, count(*) FILTER (original_score > 0.85 OR original_score < 0.3) AS skipped, round(100.0 * count(*) FILTER (original_score > 0.85 OR original_score < 0.3) / nullif(count(*), 0), 6) AS percent FROM scored")
 def gate_savings(spark, sf_dir):
-    skipped = F.count_if(~S.needs_layer2(F.col("original_score")))
     rows = S.with_scores(_texts(spark, sf_dir).select("original"), ["original"])
-    return rows.agg(F.count("*").alias("n"), skipped.alias("skipped"), F.round(F.try_divide(100.0 * skipped, F.count("*")), 6).alias("percent"))
+    return E.gate_savings(rows, "original_score")
 
 
 _RUBRIC = {"flow": 0.5, "voice": 0.3, "detail": 0.2}
@@ -205,7 +205,7 @@ def numbers(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(X.numbers(F.col("original"))), "|").alias("numbers"))
 
 
-@query()  # in SQL quadratic in a text's tokens; a test holds it against Python
+@query()  # in SQL quadratic in a text's tokens; tests/test_rules.py holds it against Python
 def entities(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(X.entities(F.col("original"))), "|").alias("entities"))
 
@@ -220,7 +220,7 @@ def preservation(spark, sf_dir):
     return rows.select("doc_id", *[F.array_join(f"k.{c}", "|").alias(c) for c in (*_KEPT, "role_drift")])
 
 
-@query()  # RE2 knows no Unicode word boundary; tests hold it against Python's
+@query()  # RE2 knows no Unicode word boundary; tests/test_rules.py holds it against Python
 def anchor_counts(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", X.anchors(F.col("original")).alias("anchors"))
 
@@ -232,8 +232,8 @@ def json_extract(spark, sf_dir):
 
 @query("SELECT doc_id, length(text) AS size FROM documents WHERE length(text) BETWEEN 50 AND 4096")
 def length_filter(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.filter(F.length("text").between(50, 4096)).select("doc_id", F.length("text").cast("long").alias("size"))
+    docs = J.within_length(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text")
+    return docs.select("doc_id", F.length("text").cast("long").alias("size"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS preview, 'triple_' || printf('%03d', doc_id) AS padded FROM documents")
@@ -269,7 +269,7 @@ def triples_scored(spark, sf_dir):
 SELECT 'triple_' || printf('%03d', a.pos) AS id, a.text AS aiified, h.text AS humanized FROM u a JOIN u h USING (pos) WHERE a.role = 'user' AND h.role = 'assistant'"""
 )
 def triples_by_position(spark, sf_dir):
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("text <> ''").withColumn("row_idx", F.struct("conv_id", "turn"))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("text <> ''").withColumn("row_idx", F.col("conv_id") * (1 << 20) + F.col("turn"))
     side = lambda role: turns.filter(F.col("role") == role).select("row_idx", F.lit("").alias("instruction"), F.lit("").alias("original"), F.col("text").alias("response"))
     return R.join_by_position(side("user"), side("assistant")).select("id", "aiified", "humanized")
 
@@ -316,11 +316,8 @@ def _candidates(spark, sf_dir):
 
 @query(f"{_CANDIDATES} SELECT grp, row_idx, round(score, 6) AS score FROM cand JOIN base USING (grp) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY words / greatest(base_words, 1)::DOUBLE > 1.25, abs(score - 0.30), row_idx) = 1")
 def aiify_best(spark, sf_dir):
-    rows = _candidates(spark, sf_dir).withColumn("original", F.struct("grp", "original")).withColumn("grp", F.col("original.grp"))
-    rows = rows.withColumn("key", F.col("grp")).withColumn("original", F.col("original.original"))
-    tagged = rows.withColumn("original", F.concat("original", F.lit("")))
-    w = C._best(tagged.withColumns({"tier": (X.length_ratio(F.col("response"), F.col("original")) > C.LENGTH_CAP).cast("int"), "distance": F.abs(F.col("score") - C.MIDPOINT)}), "grp", F.col("tier"), F.col("distance"), F.col("row_idx"))
-    return w.select("grp", "row_idx", F.round("score", 6).alias("score"))
+    rows = _candidates(spark, sf_dir).withColumn("original", F.struct("grp", "original"))
+    return C.aiify_best(rows, text=F.col("original.original")).select("grp", "row_idx", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -371,14 +368,7 @@ def seed_validate(spark, sf_dir):
 
 @query()  # holds anchor counts, as above
 def seed_stats(spark, sf_dir):
-    # the upper median of a count: a histogram per domain, so no group is gathered
-    counts = _seeds(spark, sf_dir).groupBy("domain", "word_count").agg(F.count("*").alias("n"), F.min("anchors_count").alias("lo"), F.max("anchors_count").alias("hi"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("domain")
-    placed = counts.withColumns({"upto": F.sum("n").over(w.orderBy("word_count")), "all": F.sum("n").over(w)})
-    median = F.min(F.when(F.col("upto") >= F.floor(F.col("all") / 2) + 1, F.col("word_count"))).alias("median_words")
-    return placed.groupBy("domain").agg(F.sum("n").alias("n"), F.min("word_count").alias("min_words"), median, F.max("word_count").alias("max_words"), F.min("lo").alias("min_anchors"), F.max("hi").alias("max_anchors"))
+    return E.seed_stats(_seeds(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- metrics
@@ -469,22 +459,17 @@ def ood_summary(spark, sf_dir):
 
 @query(f"{DELTAS} SELECT coalesce(lang, 'all') AS domain, count(*) AS n, count(*) FILTER (humanize_delta > 0.15) AS ready, round(avg(original_score) + 1e-9, 6) AS mean_original, round(avg(aiified_score) + 1e-9, 6) AS mean_aiified, round(avg(humanized_score) + 1e-9, 6) AS mean_humanized, round(avg(aiify_delta) + 1e-9, 6) AS mean_aiify_delta, round(avg(humanize_delta) + 1e-9, 6) AS mean_humanize_delta FROM triples GROUP BY ROLLUP (lang)")
 def domain_rollup(spark, sf_dir):
-    mean = lambda c, name: F.round(F.avg(c) + 1e-9, 6).alias(name)
-    return (
-        _triples(spark, sf_dir)
-        .rollup("lang")
-        .agg(
-            F.count("*").alias("n"), F.count_if(F.col("humanize_delta") > 0.15).alias("ready"), mean("original_score", "mean_original"), mean("aiified_score", "mean_aiified"),
-            mean("humanized_score", "mean_humanized"), mean("aiify_delta", "mean_aiify_delta"), mean("humanize_delta", "mean_humanize_delta"),
-        )
-        .select(F.coalesce("lang", F.lit("all")).alias("domain"), "n", "ready", "mean_original", "mean_aiified", "mean_humanized", "mean_aiify_delta", "mean_humanize_delta")
-    )
+    return E.domain_rollup(_triples(spark, sf_dir), "lang")
+
 
+@query(f"{DELTAS} SELECT count(*) AS n, round(avg(original_score) + 1e-9, 6) AS mean_original, round(avg(aiified_score) + 1e-9, 6) AS mean_aiified, round(avg(humanized_score) + 1e-9, 6) AS mean_humanized, round(avg(recovery_ratio) + 1e-9, 6) AS mean_recovery, count(*) FILTER (humanize_delta > 0.15) AS ready FROM triples")
+def triple_report(spark, sf_dir):
+    return E.triple_report(_triples(spark, sf_dir))
 
-@query(f"{SCORED} SELECT round(avg(original_score), 6) AS mean_original, round(avg(aiified_score), 6) AS mean_aiified, round(min(original_score - aiified_score), 6) AS min_delta, round(max(original_score - aiified_score), 6) AS max_delta, count(*) FILTER (original_score - aiified_score > 0.1) AS effective FROM scored")
+
+@query(f"{SCORED} SELECT round(avg(original_score) + 1e-9, 6) AS mean_original, round(avg(aiified_score) + 1e-9, 6) AS mean_aiified, round(min(original_score - aiified_score), 6) AS min_delta, round(max(original_score - aiified_score), 6) AS max_delta, count(*) FILTER (original_score - aiified_score > 0.1) AS effective FROM scored")
 def pair_report(spark, sf_dir):
-    rows = R.score_pairs(_texts(spark, sf_dir).select("original", "aiified"))
-    return rows.agg(F.round(F.avg("original_score"), 6).alias("mean_original"), F.round(F.avg("aiified_score"), 6).alias("mean_aiified"), F.round(F.min("delta"), 6).alias("min_delta"), F.round(F.max("delta"), 6).alias("max_delta"), F.count_if(F.col("delta") > 0.1).alias("effective"))
+    return E.pair_report(R.score_pairs(_texts(spark, sf_dir).select("original", "aiified")))
 
 
 # ---------------------------------------------------------------- datasets
@@ -530,6 +515,72 @@ def splits(spark, sf_dir):
     return D.split_core(docs).union(D.split_ood(docs)).select("split", "id", "domain")
 
 
+_DATASET = "WITH d AS (SELECT CASE WHEN doc_id % 2 = 1 THEN 'ai' ELSE 'human' END AS label, coalesce(lang, 'unknown') AS domain, length(text) > 100 AS text_is_preview FROM documents)"
+
+
+@query(f"{_DATASET} SELECT 'samples' AS what, '' AS value, count(*) AS n FROM d UNION ALL SELECT 'label', label, count(*) FROM d GROUP BY label UNION ALL SELECT 'domain', domain, count(*) FROM d GROUP BY domain UNION ALL SELECT 'preview_only', '', count(*) FILTER (text_is_preview) FROM d")
+def dataset_summary(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    label = F.when(F.col("doc_id") % 2 == 1, "ai").otherwise("human").alias("label")
+    return D.summary(docs.select(label, F.coalesce("lang", F.lit("unknown")).alias("domain"), (F.length("text") > 100).alias("text_is_preview")))
+
+
+@query("SELECT doc_id AS id, 'triple_' || printf('%03d', doc_id) AS triple_id, 'ai' AS label, coalesce(lang, 'unknown') AS domain, (doc_id % 7) / 7.0::DOUBLE AS score FROM documents WHERE doc_id % 3 <> 0 ORDER BY doc_id LIMIT 10")
+def review_queue(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("triple_id", F.format_string("triple_%03d", "doc_id"))
+    rows = docs.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("row_idx"), "triple_id", F.lit("ai").alias("label"), F.col("lang").alias("domain"), (F.col("doc_id") % 7 / 7.0).alias("overall_score"))
+    return E.review_queue(rows)
+
+
+@query(f"WITH raw AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {scored_sql('raw', ['t'], 'doc_id').strip()} SELECT doc_id, round(CASE WHEN doc_id % 3 = 0 AND t <> '' THEN t_score WHEN doc_id % 3 <> 0 THEN 0.25 END, 6) AS overall_score FROM scored")
+def ood_rescored(spark, sf_dir):
+    docs = io.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    rows = D.rescored(docs.withColumn("overall_score", F.when(F.col("doc_id") % 3 != 0, 0.25)))
+    return rows.select("doc_id", F.round("overall_score", 6).alias("overall_score"))
+
+
+def _layers(spark, sf_dir):
+    """Both layers, with ratings that are a function of the text's length; asked where layer 1 is not decisive."""
+    flow = F.length("text") % 5 / 4.0
+    asked = F.when(F.col("label") == "human", S.needs_layer2(F.col("score"))).when(F.col("label") == "ai", S.needs_layer2(F.col("score"), "aiified_scoring")).otherwise(True)
+    rows = _classes(spark, sf_dir).withColumns({"l2_overall": F.when(asked, flow), "l2_per_dim": F.when(asked, F.create_map(F.lit("flow"), flow)), "raw": F.when(asked, F.create_map(F.lit("flow"), (F.length("text") % 5 + 1).cast("int"))), "reasoning": F.when(asked, F.lit("said"))})
+    return J.with_final(rows)
+
+
+_LAYERS = f"""{CLASSES}, asked AS (SELECT *, CASE label WHEN 'human' THEN NOT (score > 0.85 OR score < 0.3) WHEN 'ai' THEN NOT (score < 0.25) ELSE TRUE END AS asked FROM classes),
+layers AS (SELECT *, CASE WHEN asked THEN (length(text) % 5) / 4.0::DOUBLE END AS l2, CASE WHEN asked THEN score * 0.4 + (length(text) % 5) / 4.0::DOUBLE * 0.6 ELSE score END AS final FROM asked)"""
+
+
+@query(f"{_LAYERS} SELECT label, count(*) AS n, count(l2) AS n_l2, round(avg(score) + 1e-9, 6) AS mean_l1, round(avg(l2) + 1e-9, 6) AS mean_l2, round(avg(final) + 1e-9, 6) AS mean_final FROM layers GROUP BY label")
+def layer_means(spark, sf_dir):
+    return E.layer_means(_layers(spark, sf_dir))
+
+
+@query(f"{_LAYERS}, v AS (SELECT 'l1' AS layer, label, score FROM layers UNION ALL SELECT 'combined', label, final FROM layers), h AS (SELECT layer, label, score, count(*)::DOUBLE AS c FROM v GROUP BY ALL) SELECT {_AREA.format(by_sel="p.layer AS layer, p.label || '_vs_' || n.label AS pair,")} FROM h p JOIN h n ON p.layer = n.layer AND (p.label, n.label) IN (('human', 'ai'), ('humanized', 'ai'), ('human', 'humanized')) GROUP BY p.layer, p.label, n.label")
+def layer_aurocs(spark, sf_dir):
+    return E.layer_aurocs(_layers(spark, sf_dir)).withColumn("auroc", F.round("auroc", 6))
+
+
+@query(f"{_LAYERS} SELECT doc_id, label, round(score, 4) AS l1_overall, round(l2, 4) AS l2_overall, CASE WHEN asked THEN CAST(length(text) % 5 + 1 AS INTEGER) END AS flow, CASE WHEN asked THEN 'said' END AS l2_reasoning, round(final, 4) AS combined_overall, substr(text, 1, 150) AS text_preview FROM layers")
+def combined_export(spark, sf_dir):
+    rows = _layers(spark, sf_dir)
+    made = E.combined_records(rows.withColumn("label", F.concat("doc_id", F.lit(":"), "label")))
+    doc = F.substring_index("label", ":", 1).cast("long").alias("doc_id")
+    return made.select(doc, F.substring_index("label", ":", -1).alias("label"), "l1_overall", "l2_overall", F.col("l2_raw.flow").alias("flow"), "l2_reasoning", "combined_overall", "text_preview")
+
+
+@query(f"{SCORED}, p AS (SELECT doc_id, original AS text, original_score AS score, TRUE AS positive FROM scored UNION ALL SELECT doc_id, aiified, aiified_score, FALSE FROM scored), h AS (SELECT score, positive, count(*)::DOUBLE AS c FROM p GROUP BY ALL), t AS (SELECT t.score AS threshold, sum(CASE WHEN (h.score >= t.score) = h.positive THEN h.c ELSE 0 END) / sum(h.c) AS accuracy FROM (SELECT DISTINCT score FROM h) t, h GROUP BY t.score ORDER BY accuracy DESC, t.score LIMIT 1), area AS (SELECT {_AREA.format(by_sel='')} FROM h p, h n WHERE p.positive AND NOT n.positive) SELECT (SELECT auroc FROM area) AS auroc, round(threshold, 6) AS threshold, round(accuracy, 6) AS accuracy, count(*) FILTER (positive AND score >= threshold) AS tp, count(*) FILTER (NOT positive AND score >= threshold) AS fp, count(*) FILTER (NOT positive AND score < threshold) AS tn, count(*) FILTER (positive AND score < threshold) AS fn, count(*) FILTER (positive) AS n_human, count(*) FILTER (NOT positive) AS n_ai FROM p, t GROUP BY threshold, accuracy")
+def evaluation(spark, sf_dir):
+    rows = R.labelled_texts(_texts(spark, sf_dir), ["doc_id"], ("human", "ai"))
+    return E.evaluate(rows)["overall"].withColumns({c: F.round(c, 6) for c in ("auroc", "threshold", "accuracy")})
+
+
+@query()  # the gate has no SQL; tests/test_rules.py holds it against Python
+def accepted_pairs(spark, sf_dir):
+    gated = G.gate(_triples(spark, sf_dir), G.Thresholds(max_aiified_score=1.0, min_humanized_score=0.0, min_humanize_delta=0.0, min_aiify_delta=-1.0, min_dim_improvements=0, max_aiify_to_original=9.0, max_humanized_to_aiified=9.0, max_humanized_to_original=9.0, min_length_ratio=0.0), preserve=False)
+    return E.accepted_pairs(gated.withColumnsRenamed({"doc_id": "id", "lang": "domain"})).withColumn("suspicion_flags", F.array_join("suspicion_flags", "|"))
+
+
 # ---------------------------------------------------------------- layer 2 with offline stand-ins
 @query()
 def judge_stub(spark, sf_dir):

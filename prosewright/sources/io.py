@@ -41,13 +41,31 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, missing_ok:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """All lines of text files: ``row_idx``, a line's number from 0 with blank lines counted, and ``raw``.
+
+    Lines are counted in each split of a file and numbered from the counts of
+    the splits before it: one row a split meets in one place, never the lines.
+    """
+    split = ["__file", "__block"]
+    lines = spark.read.text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    counts = lines.groupBy(*split).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = F.sum("__n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
+    return lines.join(starts, split).select((F.col("__before") + F.col("__at") - F.col("__first")).alias("row_idx"), "raw")
+
+
 def read_ordered(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """As ``read_jsonl`` with ``row_idx``, the number of a row's line from 0 (blank lines are not counted) and ``raw``, the line itself."""
-    lines = spark.read.text(path).filter("trim(value) <> ''").rdd.zipWithIndex().map(lambda p: (p[1], p[0][0]))
-    rows = spark.createDataFrame(lines, "row_idx long, raw string")
+    """As ``read_jsonl`` with ``row_idx``, the number of a row's line from 0 (blank lines count, and are skipped) and ``raw``, the line itself."""
+    rows = numbered_lines(spark, path).filter("trim(raw) <> ''")
     return rows.select("row_idx", "raw", F.from_json("raw", schema, {"mode": "FAILFAST"}).alias("r")).select("row_idx", "raw", "r.*")
 
 
+def candidates(spark: SparkSession, path: str, prefix: str = "pair") -> DataFrame:
+    """Usable rows of a transform's output with ``original``, the key by which candidates belong together."""
+    return transform_rows(read_ordered(spark, path, TRANSFORM), prefix)
+
+
 def original_text(system: Column) -> Column:
     """The text a transform started from, kept as JSON in ``system``; empty if it can't be read."""
     return F.coalesce(F.get_json_object(system, "$.transform_original.text"), F.lit(""))
@@ -91,20 +109,44 @@ def domain_by_text(seeds: DataFrame) -> DataFrame:
     return seeds.groupBy(strip(F.col("response")).alias("original")).agg(F.max_by("domain", "row_idx").alias("domain"))
 
 
-def write_jsonl(df: DataFrame, path: str, order: str | None = None) -> None:
-    """One ordered file with ``order``, part files otherwise; null fields are left out."""
-    out = df.coalesce(1).sortWithinPartitions(order).drop(order) if order else df
-    out.write.mode("overwrite").option("ignoreNullFields", True).json(path)
+def write_jsonl(df: DataFrame, path: str, order: str | None = None, one_file: bool = False) -> None:
+    """JSON lines; null fields are left out. With ``order`` the part files follow each other in it; ``one_file`` is for small tables."""
+    out = df.orderBy(order) if order else df
+    out = out.coalesce(1).sortWithinPartitions(order) if one_file and order else out.coalesce(1) if one_file else out
+    (out.drop(order) if order else out).write.mode("overwrite").option("ignoreNullFields", True).json(path)
 
 
 def write_raw(df: DataFrame, path: str) -> None:
-    """The lines as they were read."""
-    df.coalesce(1).sortWithinPartitions("row_idx").select("raw").write.mode("overwrite").text(path)
-
-
-def with_position(rows: DataFrame, order: str = "row_idx") -> DataFrame:
-    """``pos`` from 0 over the given order. One task numbers all rows: for parity with positional files, not for large tables."""
-    return rows.withColumn("pos", F.row_number().over(Window.orderBy(order)) - 1)
+    """The lines as they were read, in their order over the part files."""
+    df.orderBy("row_idx").select("raw").write.mode("overwrite").text(path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in one piece."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def with_position(rows: DataFrame, order: str = "row_idx", block: int = 1 << 16) -> DataFrame:
+    """``pos`` from 0 over a whole-numbered order. Rows are numbered within blocks of ``block`` numbers and from the counts of the blocks before: no task holds all rows."""
+    own = rows.withColumn("__block", F.floor(F.col(order) / block))
+    counts = own.groupBy("__block").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("__block", F.coalesce(before, F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__block").orderBy(order)) - 1
+    return own.join(starts, "__block").withColumn("pos", (F.col("__before") + rank).cast("long")).drop("__block", "__before")
+
+
+def numeric_dims(record: Column) -> Column:
+    """The ``per_dim`` object of a JSON record as a map, without members that are no numbers; true and false are 1 and 0."""
+    whole = F.from_json(F.get_json_object(record, "$.per_dim"), "map<string,string>")
+    number = lambda v: F.coalesce(v.rlike(r"^(?:-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false)$"), F.lit(False))
+    return F.transform_values(F.map_filter(whole, lambda k, v: number(v)), lambda k, v: F.when(v == "true", 1.0).when(v == "false", 0.0).otherwise(v.try_cast("double")))
 
 
 def single_text(spark: SparkSession, text: str | None = None, path: str | None = None) -> DataFrame:
