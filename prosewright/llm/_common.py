@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prosewright.functions.text import fresh  # noqa: F401
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written intermediates.
@@ -28,17 +30,6 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Names made from ``names`` that no column of ``df`` has."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 class Scratch:
     """Tables written below the shared folder so that lineage ends there.
 
@@ -50,6 +41,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
         self._n = 0
+        self._made: list[DataFrame] = []
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self._n}"
@@ -57,8 +49,15 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._prosewright_path = path
+        self._made.append(out)
         return out
 
+    def only(self, *frames: DataFrame) -> None:
+        """Removes all tables but those of ``frames``: what a lazy result still reads."""
+        kept = {f._prosewright_path for f in frames}
+        self.drop(*[f for f in self._made if f._prosewright_path not in kept])
+        self._made = [f for f in self._made if f._prosewright_path in kept]
+
     def again(self, df: DataFrame) -> DataFrame:
         """The same table as a frame of its own, for the other side of a join."""
         return self.spark.read.schema(df.schema).parquet(df._prosewright_path)

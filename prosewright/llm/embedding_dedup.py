@@ -163,6 +163,7 @@ def links(
         .join(parts.distinct(), "id", "left")
         .select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     )
+    scratch.only(named)
     linked = good.join(named, ["label", "v"])
     alone = rows.filter(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.select("vec_id", F.col("n_links").cast("long"), "component_id").union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -234,6 +234,7 @@ def repeated_lines(docs: DataFrame, tau: int = 2, edit_chars: int = EDIT_CHARS,
     parts = scratch.cut(components(scratch, edit_links(scratch, lines, tau)).withColumnRenamed("component", "class"))
     classed = scratch.cut(scratch.again(lines).select("id", "first", "n", "h1", "h2").join(parts, "id", "left").filter("class is not null or n > 1"))
     least = scratch.cut(classed.filter("class is not null").groupBy("class").agg(F.min("first").alias("class_first")))
+    scratch.only(classed, least)
     many = classed.join(least, "class", "left").select("h1", "h2", F.coalesce("class_first", "first").alias("stays"))
     at = found.select("doc_id", "line_no", *_key(F.col("norm")))
     return (

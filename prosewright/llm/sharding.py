@@ -115,6 +115,7 @@ def deal(rows: DataFrame, scratch: Scratch, n_shards: int, seed: int = 1) -> Dat
         starts.append((s, q, before.get(s, 0)))
         before[s] = before.get(s, 0) + n
     offsets = spark.createDataFrame(starts, "shard int, __bucket int, __before long")
+    scratch.only(dealt)
     again = Window.partitionBy("shard", "__bucket").orderBy("__coin", "__n")
     return (
         dealt.withColumn("__in", F.row_number().over(again).cast("long") - 1)

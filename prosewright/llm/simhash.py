@@ -172,6 +172,7 @@ def simhash_groups(
     named = scratch.cut(
         parts.join(least, "component", "left").select("fp", F.when(F.col("component").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"), root)
     )
+    scratch.only(own, named)
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -287,6 +288,7 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     linked = similar_sets(scratch, sets, own, similarity)
     parts = scratch.cut(scratch.again(distinct).join(linked, "id", "left").withColumn("component", F.coalesce("component", "id")))
     least = scratch.cut(scratch.again(parts).groupBy("component").agg(F.min("first_id").alias("least_id")))
-    named = scratch.cut(parts.join(least, "component").select("same", "least_id"))
-    gone = scratch.again(own).select("doc_id", "same").join(named, "same").filter(F.col("doc_id") != F.col("least_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    named = parts.join(least, "component").select("same", "least_id")
+    ids = scratch.cut(scratch.again(own).select("doc_id", "same").join(named, "same").filter(F.col("doc_id") != F.col("least_id")).select("doc_id").distinct())
+    scratch.only(ids)
+    return docs.join(ids, "doc_id", "left_anti")
