@@ -10,9 +10,13 @@ radius is 1: every value has one home anchor at distance 0 or 1. If a value
 ``x`` has home ``a`` and ``y`` is at most ``tau`` from ``x``, then ``y`` is at
 most ``1 + tau`` from ``a``. So each distinct fingerprint is put once under its
 home and once under every anchor within ``1 + tau``; homes and replicas that
-meet under an anchor are compared. Nothing is lost, and no anchor holds more
-than about ``replicas / anchors`` of the distinct fingerprints, because equal
-fingerprints are merged first: a group of copies, however large, is one row.
+meet under an anchor are compared. Nothing is lost. Equal fingerprints are
+merged first: a group of copies, however large, is one row. Two larger pieces
+make many more anchors than three, and more replicas: ``pieces_for`` weighs
+replicas against the compares to be expected among that many fingerprints, so
+compares don't grow with their square until there are as many fingerprints as
+anchors. Fingerprints that crowd under an anchor are an equi-join's frequent
+key, which Spark splits.
 
 The pipeline's stage (``keep_one_of_each``) is by similarity of the shingle
 sets, which such a radius cannot reach: at a Jaccard similarity of 0.8 the
@@ -29,6 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -124,7 +129,7 @@ def _anchor_columns(fp: Column, width: int, shift: int, tau: int) -> tuple[Colum
     x = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
     parity = [sum(1 << i for i in range(HAMMING) if (i + 1) >> k & 1) for k in range(4)]
     syndrome = sum((F.bit_count(x.bitwiseAND(F.lit(p))).bitwiseAND(F.lit(1)) * F.lit(1 << k) for k, p in enumerate(parity)), F.lit(0))
-    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    longs = lambda values: F.expr("array(" + ", ".join(f"{v}L" for v in values) + ")")
     to_home = longs([0] + [1 << (s - 1) for s in range(1, HAMMING + 1)])
     near = F.array(*[longs(m) for m in flips(width, 1 + tau)])
     home = x.bitwiseXOR(F.element_at(to_home, syndrome + 1))
@@ -135,6 +140,19 @@ def _each_or(values: Column, bits: Column) -> Column:
     return F.transform(values, lambda x: x.bitwiseOR(bits))
 
 
+def pieces_for(n: int, max_bits: int = 4, choices: tuple[int, ...] = (3, 2)) -> int:
+    """The number of pieces with the least work for ``n`` evenly spread fingerprints: replicas to move, and compares."""
+
+    def work(pieces: int) -> float:
+        radius, total = 1 + max_bits // pieces, 0.0
+        for w in widths(pieces):
+            replicas = sum(comb(w, r) for r in range(radius + 1)) / (HAMMING + 1)
+            total += 20 * n * replicas + n * n * replicas / 2 ** (w - 4)
+        return total
+
+    return min(choices, key=work)
+
+
 def near_pairs(fps: DataFrame, max_bits: int = 4, pieces: int = 3) -> DataFrame:
     """All pairs ``a < b`` of the distinct longs in column ``fp`` at most ``max_bits`` apart (a pair can repeat)."""
     if any(w < HAMMING for w in widths(pieces)):
@@ -158,14 +176,15 @@ def simhash_groups(
     text_col: str = "text",
     words: int = 4,
     max_bits: int = 4,
-    pieces: int = 3,
+    pieces: int | None = None,
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``fp`` (signed long) and ``component_id``,
-    the smallest id reachable over links of at most ``max_bits`` differing bits."""
+    the smallest id reachable over links of at most ``max_bits`` differing bits.
+    ``pieces`` changes the work, not the result; it follows the number of distinct fingerprints if it is not given."""
     scratch = Scratch(docs.sparkSession)
     own = scratch.cut(fingerprints(docs, id_col, text_col, words))
     distinct = scratch.cut(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    linked = components(scratch, near_pairs(distinct.select("fp"), max_bits, pieces))
+    linked = components(scratch, near_pairs(distinct.select("fp"), max_bits, pieces or pieces_for(distinct.count(), max_bits)))
     parts = scratch.cut(distinct.join(linked.withColumnRenamed("id", "fp"), "fp", "left"))
     root = F.coalesce("component", "fp").alias("root")
     least = scratch.cut(parts.filter("component is not null").groupBy("component").agg(F.min("first_id").alias("least_id")))
