@@ -10,10 +10,13 @@ the quantile, at the target recall, of the place their partner's cell takes.
 Every vector filed in a visited cell is verified by its cosine in double
 precision.
 
-The codebooks and that number are fitted on at most ``SAMPLE`` vectors; all
-vectors are filed and all are queries. The codebooks grow with the square root
-of the number of vectors, so cells stay small. Equal vectors are merged first
-and counted. Work is dealt out by label, row of the grid and a chunk of each
+The codebooks and that number are fitted on at most ``SAMPLE`` vectors and
+``SAMPLE_BYTES`` bytes of them; all vectors are filed and all are queries.
+Vectors of each length have an index of their own. The codebooks grow with the
+square root of the number of vectors, so cells stay small, up to one codeword
+for ``PER_WORD`` vectors of the sample (a grid of a million cells at the full
+sample); a larger sample raises that. Equal vectors are merged first
+and counted. Work is dealt out by label, cell and a chunk of each
 side, so a hot label or cell is many tasks; each yields counts and the edges of
 a spanning forest, never its pairs.
 
@@ -21,15 +24,16 @@ A pair is a link if either side visits the other: each filed vector carries
 the cells it visits itself, so a side that was found without visiting counts
 the link too, once.
 
-Defined results: a null label, a null or empty vector, one of another length
-than most of the sample, one with null or non-finite parts or of length zero
-links with nothing and is kept; repeated rows are vectors of their own with
+Defined results: a null label, a null or empty vector, one with null or
+non-finite parts or of length zero links with nothing and is kept; vectors of
+different lengths never link; repeated rows are vectors of their own with
 equal ids; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,11 +43,13 @@ from pyspark.sql import functions as F
 from prosewright.llm._common import Scratch, components
 
 SAMPLE = 20_000
+SAMPLE_BYTES = 64 << 20
+PER_WORD = 20
 PROBED = 2_000
 #: Vectors of one side that a task compares at once.
 CHUNK = 2_000
-#: Codewords of a half: a visit list of a row of the grid is one long.
-MOST_WORDS = 62
+#: Vectors aimed at in a cell.
+FILED = 50
 
 
 @dataclass
@@ -59,17 +65,22 @@ class Index:
             out.append((part**2).sum(1)[:, None] - 2 * part @ words.T + (words**2).sum(1))
         return out[0], out[1]
 
-    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each vector: its row and column in the grid, and per row the columns it visits, as bits."""
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each vector: its own cell, and the cells it visits, its own first.
+
+        The cell of the i-th and j-th nearest codewords comes after at least
+        ``i * j - 1`` others, so pairs of ranks with a larger product than
+        ``visits`` are not looked at."""
         a, b = self.distances(x)
         n, k = a.shape
-        sums = (a[:, :, None] + b[:, None, :]).reshape(n, k * k)
-        near = np.argpartition(sums, min(self.visits, k * k) - 1, axis=1)[:, : self.visits]
-        bits = np.zeros((n, k), np.int64)
-        np.bitwise_or.at(bits, (np.repeat(np.arange(n), near.shape[1]), (near // k).ravel()), np.int64(1) << (near % k).ravel())
-        home_a, home_b = a.argmin(1), b.argmin(1)
-        bits[np.arange(n), home_a] |= np.int64(1) << home_b  # a copy is always found
-        return home_a, home_b, bits
+        v = min(self.visits, k * k)
+        near_a, near_b = (np.argsort(d, axis=1, kind="stable")[:, :v] for d in (a, b))
+        i, j = np.nonzero(np.multiply.outer(np.arange(1, near_a.shape[1] + 1), np.arange(1, near_b.shape[1] + 1)) <= v)
+        at_a, at_b = near_a[:, i], near_b[:, j]
+        rows = np.arange(n)[:, None]
+        order = np.argsort(a[rows, at_a] + b[rows, at_b], axis=1, kind="stable")[:, :v]
+        cells = (at_a * k + at_b)[rows, order].astype(np.int64)
+        return cells[:, 0], cells
 
 
 def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -87,7 +98,7 @@ def fit(sample: np.ndarray, n_vectors: int, threshold: float, target: float) ->
     """Codebooks and the number of visits, from unit vectors."""
     rng = np.random.default_rng(11)
     half = sample.shape[1] // 2
-    k = int(np.clip(2 ** round(np.log2(max(1, n_vectors / 200)) / 2 + 1), 2, MOST_WORDS))
+    k = int(np.clip(2 ** round(np.log2(max(1, n_vectors / FILED)) / 2), 2, max(2, len(sample) // PER_WORD)))
     index = Index((_means(sample[:, :half], k, rng), _means(sample[:, half:], k, rng)), k * k, 1.0)
     x = sample[rng.permutation(len(sample))[:PROBED]]
     noise = rng.standard_normal(x.shape)
@@ -98,7 +109,13 @@ def fit(sample: np.ndarray, n_vectors: int, threshold: float, target: float) ->
     ya, yb = index.distances(y)
     rows = np.arange(len(x))
     own = a[rows, ya.argmin(1)] + b[rows, yb.argmin(1)]
-    place = np.sort((a[:, :, None] + b[:, None, :] < own[:, None, None]).sum((1, 2))) + 1
+    place = np.empty(len(x), np.int64)
+    for start in range(0, len(x), 50):
+        part = slice(start, start + 50)
+        b_sorted = np.sort(b[part], axis=1)
+        left = own[part, None] - a[part]  # cells of a codeword that come before: a place in the other half's order
+        place[part] = [int(np.searchsorted(row, values, side="left").sum()) for row, values in zip(b_sorted, left, strict=True)]
+    place = np.sort(place) + 1
     at = min(int(np.ceil(target * len(place))), len(place)) - 1
     index.visits, index.recall = int(place[at]), target
     return index
@@ -142,19 +159,13 @@ def links(
     good = rows.filter(sound)
     # equal vectors of a label are one row; its least id stands for it
     merged = scratch.cut(good.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).withColumn("dim", F.size("v")))
-    sample = merged.select("v", "dim").orderBy(F.xxhash64("id", "label"), "id").limit(SAMPLE).collect()
     links_schema = "id long, other long, n long"
-    if sample:
-        dims = [r["dim"] for r in sample]
-        dim = max(set(dims), key=lambda d: (dims.count(d), d))
-        x = np.array([r["v"] for r in sample if r["dim"] == dim])
-        if dim > 1:
-            index = fit(x / np.linalg.norm(x, axis=1)[:, None], merged.count(), threshold, target)
-        else:
-            index = Index((np.zeros((2, 0)), np.array([[-1.0], [1.0]])), 4, 1.0)
-        found = scratch.cut(_verified(scratch, merged.filter(F.col("dim") == dim), index, threshold, links_schema))
-    else:
-        found = spark.createDataFrame([], links_schema)
+    found = [spark.createDataFrame([], links_schema)]
+    for dim, size in sorted(map(tuple, merged.groupBy("dim").count().collect())):
+        own = merged.filter(F.col("dim") == dim)
+        index = _fitted(own, int(dim), int(size), threshold, target)
+        found.append(scratch.cut(_verified(scratch, own, index, threshold, links_schema)))
+    found = scratch.cut(reduce(DataFrame.union, found))
     counts = found.filter("other is null").groupBy("id").agg(F.sum("n").alias("n"))
     parts = components(scratch, found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     named = scratch.cut(
@@ -169,9 +180,18 @@ def links(
     return linked.select("vec_id", F.col("n_links").cast("long"), "component_id").union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def _fitted(vectors: DataFrame, dim: int, size: int, threshold: float, target: float) -> Index:
+    """An index of ``size`` vectors of length ``dim``, from a sample of bounded size that comes in columns."""
+    if dim == 1:
+        return Index((np.zeros((2, 0)), np.array([[-1.0], [1.0]])), 4, 1.0)
+    most = max(2, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+    rows = vectors.orderBy(F.xxhash64("id", "label"), "id").limit(most).select("v").toArrow()
+    x = np.concatenate([c.flatten().to_numpy() for c in rows.column(0).chunks]).reshape(-1, dim)
+    return fit(x / np.linalg.norm(x, axis=1)[:, None], size, threshold, target)
+
+
 def _verified(scratch: Scratch, merged: DataFrame, index: Index, threshold: float, schema: str) -> DataFrame:
-    """Counts (``other`` null) and forest edges of all links between distinct vectors."""
-    k = len(index.words[0])
+    """Counts (``other`` null) and forest edges of all links between distinct vectors of one length."""
 
     def placed(batches):
         for pdf in batches:
@@ -180,24 +200,25 @@ def _verified(scratch: Scratch, merged: DataFrame, index: Index, threshold: floa
             x = np.array(pdf["v"].tolist())
             unit = x / np.linalg.norm(x, axis=1)[:, None]
             parts = [index.place(unit[at : at + 500]) for at in range(0, len(x), 500)]
-            row, col, bits = (np.concatenate(p) for p in zip(*parts, strict=True))
-            yield pdf.assign(row=row, col=col, visits=list(bits))
+            cell, visits = (np.concatenate(p) for p in zip(*parts, strict=True))
+            yield pdf.assign(cell=cell, visits=list(visits))
 
     filed = merged.select(F.col("label").cast("string").alias("label"), "v", "id", "n").mapInPandas(
-        placed, "label string, v array<double>, id long, n long, row int, col int, visits array<long>"
+        placed, "label string, v array<double>, id long, n long, cell long, visits array<long>"
     )
     filed = scratch.cut(filed)
-    # queries go to every row of the grid they visit
-    asked = filed.select("label", "v", "id", "n", F.col("row").alias("own_row"), F.col("col").alias("own_col"), F.posexplode("visits").alias("row", "bits")).filter("bits != 0")
-    size = filed.groupBy("label", "row").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    asks = asked.groupBy("label", "row").agg(F.ceil(F.count("*") / (4 * CHUNK)).cast("int").alias("ask_chunks"))
-    plan = F.broadcast(size.join(asks, ["label", "row"]))  # one row per label and row of the grid: 62 a label at most
+    again = scratch.again
+    # queries go to every cell they visit
+    asked = filed.select("label", "v", "id", "n", F.col("cell").alias("own"), F.explode("visits").alias("cell"))
+    size = again(filed).groupBy("label", "cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    asks = again(filed).select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(F.ceil(F.count("*") / (4 * CHUNK)).cast("int").alias("ask_chunks"))
+    plan = scratch.cut(size.join(asks, ["label", "cell"]))
     coin = F.xxhash64("id", F.lit(5).cast("long"))
-    left = asked.join(plan, ["label", "row"]).select(
-        "label", "row", F.pmod(coin, "ask_chunks").alias("q"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("s"), "v", "id", "n", "own_row", "own_col", "bits"
+    left = asked.join(plan, ["label", "cell"]).select(
+        "label", "cell", F.pmod(coin, "ask_chunks").alias("q"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("s"), "v", "id", "n", "own"
     )
-    right = scratch.again(filed).join(plan, ["label", "row"]).select(
-        "label", "row", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("ask_chunks") - 1).cast("long"))).alias("q"), F.pmod(coin, "chunks").cast("int").alias("s"), "v", "id", "n", "col", "visits"
+    right = again(filed).join(again(plan), ["label", "cell"]).select(
+        "label", "cell", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("ask_chunks") - 1).cast("long"))).alias("q"), F.pmod(coin, "chunks").cast("int").alias("s"), "v", "id", "n", "visits"
     )
 
     def compare(asked_: pd.DataFrame, filed_: pd.DataFrame) -> pd.DataFrame:
@@ -207,8 +228,8 @@ def _verified(scratch: Scratch, merged: DataFrame, index: Index, threshold: floa
         y = np.array(filed_["v"].tolist())
         y_norm = np.linalg.norm(y, axis=1)
         y_unit = y / y_norm[:, None]
-        y_id, y_n, y_col = filed_["id"].to_numpy(), filed_["n"].to_numpy(), filed_["col"].to_numpy()
-        y_bits = np.array(filed_["visits"].tolist()).reshape(len(y), k)
+        y_id, y_n = filed_["id"].to_numpy(), filed_["n"].to_numpy()
+        y_visits = np.array(filed_["visits"].tolist()).reshape(len(y), -1)
         pairs = []
         for at in range(0, len(asked_), 500):
             part = asked_.iloc[at : at + 500]
@@ -218,9 +239,10 @@ def _verified(scratch: Scratch, merged: DataFrame, index: Index, threshold: floa
             i, j = np.nonzero(cosine >= threshold - 1e-9)
             exact = np.einsum("ij,ij->i", x[i], y[j]) / (x_norm[i] * y_norm[j]) >= threshold
             x_id = part["id"].to_numpy()
-            mine = exact & (x_id[i] != y_id[j]) & (part["bits"].to_numpy()[i] >> y_col[j] & 1 == 1)
+            mine = exact & (x_id[i] != y_id[j])
             i, j = i[mine], j[mine]
-            back = y_bits[j, part["own_row"].to_numpy()[i]] >> part["own_col"].to_numpy()[i] & 1 == 1
+            own = part["own"].to_numpy()
+            back = np.concatenate([(y_visits[j[k : k + 100_000]] == own[i[k : k + 100_000], None]).any(1) for k in range(0, max(len(i), 1), 100_000)])
             pairs.append((x_id[i], part["n"].to_numpy()[i], y_id[j], y_n[j], back))
         a, a_n, b, b_n, back = (np.concatenate(p) for p in zip(*pairs, strict=True))
         if not len(a):
@@ -235,7 +257,7 @@ def _verified(scratch: Scratch, merged: DataFrame, index: Index, threshold: floa
             ]
         )
 
-    key = ["label", "row", "q", "s"]
+    key = ["label", "cell", "q", "s"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, schema)
 
 
