@@ -16,9 +16,9 @@ Vectors of each length have an index of their own. The codebooks grow with the
 square root of the number of vectors, so cells stay small, up to one codeword
 for ``PER_WORD`` vectors of the sample (a grid of a million cells at the full
 sample); a larger sample raises that. Equal vectors are merged first
-and counted. Work is dealt out by label, cell and a chunk of each
+and counted. Work is dealt out by label, a run of ``SPAN`` neighbouring cells and a chunk of each
 side, so a hot label or cell is many tasks; each yields counts and the edges of
-a spanning forest, never its pairs.
+a spanning forest, never its pairs. A query goes to a run once, however many of its cells it visits.
 
 A pair is a link if either side visits the other: each filed vector carries
 the cells it visits itself, so a side that was found without visiting counts
@@ -50,6 +50,8 @@ PROBED = 2_000
 CHUNK = 2_000
 #: Vectors aimed at in a cell.
 FILED = 50
+#: Cells worked on together: small groups cost more to hand over than to compare.
+SPAN = 20
 
 
 @dataclass
@@ -79,7 +81,7 @@ class Index:
         at_a, at_b = near_a[:, i], near_b[:, j]
         rows = np.arange(n)[:, None]
         order = np.argsort(a[rows, at_a] + b[rows, at_b], axis=1, kind="stable")[:, :v]
-        cells = (at_a * k + at_b)[rows, order].astype(np.int64)
+        cells = (at_a * k + at_b)[rows, order].astype(np.int32)
         return cells[:, 0], cells
 
 
@@ -204,23 +206,28 @@ def _verified(scratch: Scratch, merged: DataFrame, index: Index, threshold: floa
             yield pdf.assign(cell=cell, visits=list(visits))
 
     filed = merged.select(F.col("label").cast("string").alias("label"), "v", "id", "n").mapInPandas(
-        placed, "label string, v array<double>, id long, n long, cell long, visits array<long>"
+        placed, "label string, v array<double>, id long, n long, cell int, visits array<int>"
     )
     filed = scratch.cut(filed)
     again = scratch.again
-    # queries go to every cell they visit
-    asked = filed.select("label", "v", "id", "n", F.col("cell").alias("own"), F.explode("visits").alias("cell"))
-    size = again(filed).groupBy("label", "cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    asks = again(filed).select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(F.ceil(F.count("*") / (4 * CHUNK)).cast("int").alias("ask_chunks"))
-    plan = scratch.cut(size.join(asks, ["label", "cell"]))
+    # queries go to every run of cells they visit
+    own, runs = F.floor(F.col("cell") / SPAN).alias("run"), F.explode(F.array_distinct(F.transform("visits", lambda c: F.floor(c / SPAN)))).alias("run")
+    size = again(filed).groupBy("label", own).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    asks = again(filed).select("label", runs).groupBy("label", "run").agg(F.ceil(F.count("*") / (4 * CHUNK)).cast("int").alias("ask_chunks"))
+    plan = scratch.cut(size.join(asks, ["label", "run"]))
     coin = F.xxhash64("id", F.lit(5).cast("long"))
-    left = asked.join(plan, ["label", "cell"]).select(
-        "label", "cell", F.pmod(coin, "ask_chunks").alias("q"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("s"), "v", "id", "n", "own"
+    left = filed.select("label", "v", "id", "n", "cell", "visits", runs).join(plan, ["label", "run"]).select(
+        "label", "run", F.pmod(coin, "ask_chunks").alias("q"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("s"), "v", "id", "n", "cell", "visits"
     )
-    right = again(filed).join(again(plan), ["label", "cell"]).select(
-        "label", "cell", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("ask_chunks") - 1).cast("long"))).alias("q"), F.pmod(coin, "chunks").cast("int").alias("s"), "v", "id", "n", "visits"
+    right = again(filed).withColumn("run", own).join(again(plan), ["label", "run"]).select(
+        "label", "run", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("ask_chunks") - 1).cast("long"))).alias("q"), F.pmod(coin, "chunks").cast("int").alias("s"), "v", "id", "n", "cell", "visits"
     )
 
+    def holds(visits: np.ndarray, at: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Whether each vector visits a cell, a bounded number of pairs at a time."""
+        step = 100_000
+        return np.concatenate([(visits[at[k : k + step]] == cells[k : k + step, None]).any(1) for k in range(0, max(len(at), 1), step)])
+
     def compare(asked_: pd.DataFrame, filed_: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"id": pd.Series(dtype="int64"), "other": pd.Series(dtype="Int64"), "n": pd.Series(dtype="int64")})
         if not len(asked_) or not len(filed_):
@@ -228,7 +235,7 @@ def _verified(scratch: Scratch, merged: DataFrame, index: Index, threshold: floa
         y = np.array(filed_["v"].tolist())
         y_norm = np.linalg.norm(y, axis=1)
         y_unit = y / y_norm[:, None]
-        y_id, y_n = filed_["id"].to_numpy(), filed_["n"].to_numpy()
+        y_id, y_n, y_cell = filed_["id"].to_numpy(), filed_["n"].to_numpy(), filed_["cell"].to_numpy()
         y_visits = np.array(filed_["visits"].tolist()).reshape(len(y), -1)
         pairs = []
         for at in range(0, len(asked_), 500):
@@ -241,8 +248,9 @@ def _verified(scratch: Scratch, merged: DataFrame, index: Index, threshold: floa
             x_id = part["id"].to_numpy()
             mine = exact & (x_id[i] != y_id[j])
             i, j = i[mine], j[mine]
-            own = part["own"].to_numpy()
-            back = np.concatenate([(y_visits[j[k : k + 100_000]] == own[i[k : k + 100_000], None]).any(1) for k in range(0, max(len(i), 1), 100_000)])
+            mine = holds(np.array(part["visits"].tolist()), i, y_cell[j])
+            i, j = i[mine], j[mine]
+            back = holds(y_visits, j, part["cell"].to_numpy()[i])
             pairs.append((x_id[i], part["n"].to_numpy()[i], y_id[j], y_n[j], back))
         a, a_n, b, b_n, back = (np.concatenate(p) for p in zip(*pairs, strict=True))
         if not len(a):
@@ -257,7 +265,7 @@ def _verified(scratch: Scratch, merged: DataFrame, index: Index, threshold: floa
             ]
         )
 
-    key = ["label", "cell", "q", "s"]
+    key = ["label", "run", "q", "s"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, schema)
 
 
