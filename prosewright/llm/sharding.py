@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from prosewright.llm._common import Scratch
 
 MAX_BLOCKS = 65_536
-#: The matrix has at most MAX_BLOCKS * shards numbers; beyond this it is refused.
+#: Numbers of the matrix; beyond this there are fewer blocks.
 MAX_CELLS = 64_000_000
 
 
@@ -80,14 +80,20 @@ def _coin(seed: int, *cols: str) -> Column:
 
 
 def deal(rows: DataFrame, scratch: Scratch, n_shards: int, seed: int = 1) -> DataFrame:
-    """``rows`` with ``shard`` and ``slot`` added (``__n``, ``__block`` and the like are taken).
+    """``rows`` with ``shard`` and ``slot`` added; columns of these names give way to them.
 
     ``rows`` is written once, so that a row keeps its place when tasks are repeated.
     """
+    names = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
+    inner = [f"c{k}" for k in range(len(names))]
+    dealt = _dealt(rows.select(*names).toDF(*inner), scratch, n_shards, seed)
+    return dealt.select(*[F.col(c).alias(n) for c, n in zip(inner, names, strict=True)], "shard", "slot")
+
+
+def _dealt(rows: DataFrame, scratch: Scratch, n_shards: int, seed: int) -> DataFrame:
     spark = rows.sparkSession
-    n_blocks = min(MAX_BLOCKS, max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    if n_blocks * n_shards > MAX_CELLS:
-        raise ValueError(f"at most {MAX_CELLS // n_blocks} shards")
+    # with very many shards blocks are fewer and larger
+    n_blocks = max(1, min(MAX_BLOCKS, MAX_CELLS // n_shards, max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
     kept = scratch.cut(rows.withColumn("__n", F.monotonically_increasing_id()))
     placed = kept.withColumn("__block", F.pmod(_coin(seed, "__n"), F.lit(n_blocks)).cast("int"))
     counted = {r["__block"]: r["count"] for r in placed.groupBy("__block").count().collect()}
