@@ -11,7 +11,8 @@ Labels are known for documents only. In training, the lines of a good document
 are good; those of a bad one are bad at first, and in a second round those
 that look good to the first model are taken as good, as long as one bad line
 remains. The model is fitted on at most ``SAMPLE`` labelled documents, those
-with the smallest hash of their id; every text is then scored whole.
+with the smallest hash of their id, without those of more than ``FIT_LINES``
+lines: so what the driver holds is bounded. Every text is then scored whole.
 
 Defined results: null and empty texts are one empty line, and are scored as
 such; a document's score depends on its text alone; repeated rows are scored
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from prosewright.llm.crf import Chain, batches, forward_backward, padded, train
 
 SAMPLE = 2000
+FIT_LINES = 500
 THRESHOLD = 0.7
 #: Lines of a training sequence.
 RUN = 48
@@ -55,6 +57,8 @@ def line_numbers(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
         own = (t or "").split("\n")
         counts[i] = len(own)
         lines += own
+    if not lines:
+        return np.zeros((0, N_OWN)), np.zeros(0), counts
     data = "\n".join(lines).encode("utf-8", "surrogatepass") + b"\n"
     raw = np.frombuffer(data, np.uint8)
     ends = np.flatnonzero(raw == 10)
@@ -66,7 +70,7 @@ def line_numbers(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     for c in range(7):
         x[:, c] = np.add.reduceat(classes == c, starts, dtype=np.int32) - (c == 6)  # the line feed is a symbol
     doubled = np.zeros(len(raw), bool)
-    doubled[1:] = (raw[1:] == raw[:-1]) & ((classes[1:] == 6) | (raw[1:] == 33))
+    doubled[1:] = (raw[1:] == raw[:-1]) & (raw[1:] != 10) & ((classes[1:] == 6) | (raw[1:] == 33))
     x[:, 7] = np.add.reduceat(doubled, starts, dtype=np.int32)
     capitals = x[:, 0] / np.maximum(x[:, 0] + x[:, 1], 1)
     x[:, :8] /= safe[:, None]
@@ -172,6 +176,7 @@ def train_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: s
 
     def numbers(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_:
+            b = b.filter(pa.array([(t or "").count("\n") < FIT_LINES for t in b.column(1).to_pylist()], pa.bool_()))
             x, size, counts = line_numbers(b.column(1).to_pylist())
             ends = np.cumsum(counts)
             pack = lambda v, k=1: [v[e - c : e].ravel() for e, c in zip(ends, counts, strict=True)]
