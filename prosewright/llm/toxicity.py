@@ -8,7 +8,10 @@ map sends a word to its kernels with them, whitened, and a linear machine with
 hinge loss is trained there. Its decision is a weighted sum of kernels with the
 landmarks; as each kernel is an inner product over subsequences, the sum is
 folded into one weight per subsequence, and a word's margin is exact at a cost
-that does not depend on the number of landmarks.
+that does not depend on the number of landmarks. The few words of a larger
+margin go to a second machine of the same kind whose kernel is a power of the
+first: what shares most of an insult's letters, but is none, has to be told
+from it there.
 
 A sentence is as toxic as its worst word: labels are known per document, so
 the words that speak for a toxic document are found first (seen in several
@@ -23,7 +26,8 @@ spelled one by one make up a word too. Words longer than ``LONGEST`` letters
 are read in overlapping windows. Whole texts are read.
 
 The fit uses at most ``SAMPLE`` labelled documents of each class, those with
-the smallest hash of their id.
+the smallest hash of their id, without those of more than ``FIT_WORDS`` distinct
+words: so what the driver holds is bounded. Every text is then scored whole.
 
 Defined results: null and empty texts have no word and get the curve's value
 at the lowest margin; equal texts have equal scores; without labels of both
@@ -49,16 +53,25 @@ from pyspark.sql import functions as F
 from prosewright.llm.quality import fold, learning_labels
 
 SAMPLE = 2000
+FIT_WORDS = 3000
 DECAY = 0.7
 ORDER = 3
-LONGEST = 16
-LETTERS = 40
+LONGEST = 24
+LETTERS = 64
 LANDMARKS = 160
-#: Up to so many words that speak for toxicity are all taken; of more, a cover.
+#: Of more words that speak for toxicity than this, those that cover the toxic texts are the positive examples: near copies share many by chance.
 LIST = 60
+#: Words that speak for nothing, drawn as counter-examples, and the hardest of them that are added in each round.
+COUNTER, HARDEST = 6000, 3000
+#: Rounds in which the second machine is given its hardest counter-examples.
+ROUNDS = 4
+#: Words taken on trust where too few texts are labelled to tell chance from sign: repeated ones, or any.
+TRUSTED, ANY = 50, 200
 #: Words whose margins a worker keeps.
 KEPT = 1_000_000
 LOWEST = -2.0
+#: Words of a larger margin are looked at by the second machine, whose kernel is this power of the first one's.
+LOOKED_AT, POWER = -0.5, 4
 THRESHOLD = 0.5
 
 _LOOKALIKE = str.maketrans("013457@$", "oieastas")
@@ -140,6 +153,7 @@ class Model:
     scale: float = 1.0
     shift: float = 0.0
     prior: float = 0.0
+    second: Second | None = None
     margins: dict[str, float] = field(default_factory=dict)
 
     def __getstate__(self):
@@ -159,6 +173,8 @@ class Model:
                 for k in range(0, len(at), step):
                     code, value = subsequences([letters[i] for i in at[k : k + step]])
                     out[at[k : k + step]] = np.maximum((self.weights[code] * value).sum(axis=1) + self.bias, LOWEST)
+                if self.second is not None and len(again := at[out[at] > LOOKED_AT]):
+                    out[again] = np.clip(self.second.margins_of([letters[i] for i in again]), LOWEST, out[again])  # both have to agree
         return out
 
     def _fill(self, missing: set[str]) -> None:
@@ -190,26 +206,55 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.worst(texts) + self.shift, -40, 40)))
 
 
-def _features(words: list[str], marks: np.ndarray) -> np.ndarray:
-    """Kernels of words with landmarks given as columns over subsequences."""
-    out = np.zeros((len(words), marks.shape[1]))
-    by_length: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(i)
-    for at in by_length.values():
-        for k in range(0, len(at), 200):
-            part = at[k : k + 200]
-            code, value = subsequences([words[i] for i in part])
-            out[part] = np.einsum("ij,ijk->ik", value, marks[code])
-    return out
+@dataclass
+class Marks:
+    """Landmarks as columns over the subsequences that occur in them; row 0 is for all others."""
+
+    row: np.ndarray
+    columns: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[str]) -> Marks:
+        found = [subsequences([w]) for w in words]
+        codes = np.unique(np.concatenate([c[0] for c, _ in found]))
+        row = np.zeros(LETTERS**ORDER, np.int32)
+        row[codes] = np.arange(1, len(codes) + 1)
+        columns = np.zeros((len(codes) + 1, len(words)))
+        for k, (code, value) in enumerate(found):
+            np.add.at(columns[:, k], row[code[0]], value[0])
+        return cls(row, columns)
+
+    def kernels(self, words: list[str]) -> np.ndarray:
+        """The kernel of each word with each landmark."""
+        out = np.zeros((len(words), self.columns.shape[1]))
+        by_length: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(i)
+        for at in by_length.values():
+            for k in range(0, len(at), 100):
+                part = at[k : k + 100]
+                code, value = subsequences([words[i] for i in part])
+                out[part] = np.einsum("ij,ijk->ik", value, self.columns[self.row[code]])
+        return out
+
+
+def _whitened(gram: np.ndarray) -> np.ndarray:
+    """The Nyström map from kernels with landmarks to coordinates."""
+    values, vectors = np.linalg.eigh(gram)
+    keep = values > 1e-6 * values.max()
+    return vectors[:, keep] / np.sqrt(values[keep])
+
+
+@dataclass
+class Second:
+    """The machine of the powered kernel: only words nearly alike count, so a stem can be told from its endings."""
 
+    marks: Marks
+    weights: np.ndarray
+    bias: float
 
-def _columns(words: list[str]) -> np.ndarray:
-    marks = np.zeros((LETTERS**ORDER, len(words)))
-    for k, w in enumerate(words):
-        code, value = subsequences([w])
-        np.add.at(marks[:, k], code[0], value[0])
-    return marks
+    def margins_of(self, words: list[str]) -> np.ndarray:
+        return self.marks.kernels(words) ** POWER @ self.weights + self.bias
 
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -290,35 +335,52 @@ def fit(documents: list[tuple[int, list[str]]]) -> Model:
     spread = Counter((seen[0] + seen[1]).values())
     at_least = {c: sum(n for k, n in spread.items() if k >= c) for c in {len(holds[w]) for w in bad}}
     strong = [w for w in bad if len(holds[w]) * -np.log(share) > np.log(at_least[len(holds[w])]) + 1]
-    strong = cover(strong, holds) if len(strong) > LIST else strong or bad[:50] or sorted(holds)[:200]  # too few texts to tell
+    strong = cover(strong, holds) if len(strong) > LIST else strong or bad[:TRUSTED] or sorted(holds)[:ANY]  # too few texts to tell
     if not strong:
         return Model(None, prior=toxic / n)
     rng = np.random.default_rng(7)
     # every word that speaks for nothing counts against: those of other texts, and the common ones of toxic texts
     plain = sorted(seen[0])
-    against = [plain[i] for i in rng.permutation(len(plain))[:6000]]
+    against = [plain[i] for i in rng.permutation(len(plain))[:COUNTER]]
+    draw = lambda words, n: [words[i] for i in rng.permutation(len(words))[:n]]
     marks_bad = strong[: LANDMARKS // 2]
-    marks = _columns(marks_bad + [plain[i] for i in rng.permutation(len(plain))[: LANDMARKS - len(marks_bad)]])
-    gram = marks.T @ marks
-    values, vectors = np.linalg.eigh(gram)
-    keep = values > 1e-6 * values.max()
-    whiten = vectors[:, keep] / np.sqrt(values[keep])
+    marks = Marks.of(marks_bad + draw(plain, LANDMARKS - len(marks_bad)))
+    whiten = _whitened(marks.columns.T @ marks.columns)
 
-    def machine(positives: list[str], negatives: list[str]) -> Model:
-        x = _features(positives + negatives, marks) @ whiten
+    def trained(x: np.ndarray, positives: list[str], negatives: list[str]) -> tuple[np.ndarray, float]:
         y = np.r_[np.ones(len(positives)), -np.ones(len(negatives))]
         support = np.sqrt([len(holds[w]) for w in positives])
-        importance = np.r_[support / support.sum(), np.full(len(negatives), 1 / max(len(negatives), 1))]
-        w, b = _machine(x, y, importance)
-        return Model(marks @ (whiten @ w), b)
+        return _machine(x, y, np.r_[support / support.sum(), np.full(len(negatives), 1 / max(len(negatives), 1))])
+
+    def machine(positives: list[str], negatives: list[str]) -> Model:
+        w, b = trained(marks.kernels(positives + negatives) @ whiten, positives, negatives)
+        weights = np.zeros(LETTERS**ORDER)
+        weights[marks.row > 0] = (marks.columns @ (whiten @ w))[marks.row[marks.row > 0]]
+        return Model(weights, b)
 
     model = machine(strong, against)
     for _ in range(2):
         # the hardest counter-examples, and the words of toxic texts that the machine itself takes for insults
-        hard = [plain[i] for i in np.argsort(-model.margins_of(plain))[:3000]]
+        hard = [plain[i] for i in np.argsort(-model.margins_of(plain))[:HARDEST]]
         alike = [w for w, m in zip(bad, model.margins_of(bad), strict=True) if m > 0]
         against = sorted({*against, *hard})
         model = machine(sorted({*strong, *alike}), against)
+    # the second machine: the words that the first one takes for insults, rightly and wrongly
+    near = [w for w, m in zip(against, model.margins_of(against), strict=True) if m > LOOKED_AT]
+    positives = sorted({*strong, *alike})
+    first = model.margins_of(plain)
+    doubtful = [w for w, m in zip(plain, first, strict=True) if m > LOOKED_AT]
+    for _ in range(ROUNDS if near else 0):
+        own = Marks.of(draw(positives, LANDMARKS) + draw(near, LANDMARKS))
+        map_ = _whitened((own.columns.T @ own.columns) ** POWER)
+        w, b = trained(own.kernels(positives + near) ** POWER @ map_, positives, near)
+        model.second = Second(own, map_ @ w, b)
+        # the words that it still takes for insults
+        wrong = model.second.margins_of(doubtful)
+        more = {doubtful[i] for i in np.argsort(-wrong)[:HARDEST] if wrong[i] > LOOKED_AT} - {*near}
+        if not more:
+            break
+        near = sorted({*near, *more})
     model.prior = toxic / n
     worst = model.worst([" ".join(words) for _, words in tune])
     model.scale, model.shift = _curve(worst, np.array([y for y, _ in tune]))
@@ -332,6 +394,8 @@ def train_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: s
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [sorted(words_of(t)) for t in b.column(1).to_pylist()]
+            b = b.filter(pa.array([len(w) <= FIT_WORDS for w in found], pa.bool_()))
+            found = [w for w in found if len(w) <= FIT_WORDS]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], names=["label", "words"])
 
     marked = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).filter(F.col("__id").isNotNull())
