@@ -301,16 +301,18 @@ def dup_rows(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- selection
+#: Candidates of one original: neighbouring documents, so groups stay small however many there are.
+_GROUP = 25
 _CANDIDATES = f"""{SCORED}, cand AS (
-  SELECT doc_id % 40 AS grp, doc_id AS row_idx, aiified AS response, aiified_score AS score, len(regexp_extract_all(aiified, '[\\p{{L}}\\p{{N}}_]+')) AS words FROM scored),
-base AS (SELECT grp, max(words) FILTER (row_idx = grp) AS base_words FROM cand GROUP BY grp)"""
+  SELECT doc_id // {_GROUP} AS grp, doc_id AS row_idx, aiified AS response, aiified_score AS score, len(regexp_extract_all(aiified, '[\\p{{L}}\\p{{N}}_]+')) AS words FROM scored),
+base AS (SELECT grp, arg_min(words, row_idx) AS base_words FROM cand GROUP BY grp)"""
 
 
 def _candidates(spark, sf_dir):
     rows = S.with_scores(_texts(spark, sf_dir).select("doc_id", "aiified"), ["aiified"]).select(
-        (F.col("doc_id") % 40).alias("grp"), F.col("doc_id").alias("row_idx"), F.col("aiified").alias("response"), F.col("aiified_score").alias("score"), T.words_re(F.col("aiified")).alias("words")
+        F.floor(F.col("doc_id") / _GROUP).alias("grp"), F.col("doc_id").alias("row_idx"), F.col("aiified").alias("response"), F.col("aiified_score").alias("score"), T.words_re(F.col("aiified")).alias("words")
     )
-    base = rows.filter("row_idx = grp").select("grp", F.col("response").alias("original"))
+    base = rows.groupBy("grp").agg(F.min_by("response", "row_idx").alias("original"))
     return rows.join(base, "grp")
 
 
@@ -321,28 +323,24 @@ def aiify_best(spark, sf_dir):
 
 
 @query(
-    f"""{SCORED}, cand AS (SELECT doc_id % 40 AS aiified, doc_id AS row_idx, humanized_score AS score, aiified_score AS a, original_score AS o FROM scored),
+    f"""{SCORED}, cand AS (SELECT doc_id // {_GROUP} AS aiified, doc_id AS row_idx, humanized_score AS score, aiified_score AS a, original_score AS o FROM scored),
 g AS (SELECT aiified, min(a) AS aiified_score, max(o) FILTER (row_idx % 2 = 0) AS o FROM cand GROUP BY aiified),
 r AS (SELECT c.aiified, c.row_idx, c.score, c.score - g.aiified_score AS delta, abs(c.score - coalesce(g.o, 1.0)) AS dist,
   CASE WHEN c.score - g.aiified_score >= 0.30 AND c.score <= coalesce(g.o, 1.0) + 0.05 THEN 0 WHEN c.score - g.aiified_score >= 0.30 THEN 1 ELSE 2 END AS tier FROM cand c JOIN g USING (aiified))
 SELECT aiified AS grp, row_idx, tier, round(delta, 6) AS delta FROM r QUALIFY row_number() OVER (PARTITION BY aiified ORDER BY tier, -delta, dist, row_idx) = 1"""
 )
 def humanize_best(spark, sf_dir):
-    rows = _triples(spark, sf_dir).select((F.col("doc_id") % 40).alias("aiified"), F.col("doc_id").alias("row_idx"), F.col("humanized_score").alias("score"), F.col("aiified_score").alias("a"), F.col("original_score").alias("o"))
+    rows = _triples(spark, sf_dir).select(F.floor(F.col("doc_id") / _GROUP).alias("aiified"), F.col("doc_id").alias("row_idx"), F.col("humanized_score").alias("score"), F.col("aiified_score").alias("a"), F.col("original_score").alias("o"))
     groups = rows.groupBy("aiified").agg(F.min("a").alias("aiified_score"), F.max(F.when(F.col("row_idx") % 2 == 0, F.col("o"))).alias("original_score"))
     return C.humanize_best(rows.drop("a", "o").join(groups, "aiified")).select(F.col("aiified").alias("grp"), "row_idx", "tier", F.round("delta", 6).alias("delta"))
 
 
-@query(f"{_CANDIDATES} SELECT grp, count(*) AS n_candidates, round(min(score), 4) AS lowest, round(max(score), 4) AS highest, sum(words)::BIGINT AS words FROM cand GROUP BY grp")
+@query(f"{_CANDIDATES} SELECT grp, count(*) AS n_candidates, string_agg(row_idx || ':' || CAST(round(score * 10000) AS BIGINT) || ':' || words, '|' ORDER BY row_idx) AS candidates, round(arg_min(score, row_idx), 4) AS chosen_score, CAST(arg_min(words, row_idx) AS INTEGER) AS chosen_words FROM cand GROUP BY grp")
 def selection_report(spark, sf_dir):
     rows = _candidates(spark, sf_dir)
-    chosen = C._best(rows, "grp", F.col("row_idx"))
-    made = C.selection_report(rows, chosen, "grp")
-    each = F.col("candidates")
-    return made.select(
-        "grp", "n_candidates", F.array_min(F.transform(each, lambda c: c["score"])).alias("lowest"), F.array_max(F.transform(each, lambda c: c["score"])).alias("highest"),
-        F.aggregate(each, F.lit(0).cast("long"), lambda a, c: a + c["words"]).alias("words"),
-    )
+    made = C.selection_report(rows, C._best(rows, "grp", F.col("row_idx")), "grp")
+    each = F.transform("candidates", lambda c: F.concat_ws(":", c["row_idx"], F.round(c["score"] * 10000).cast("long"), c["words"]))
+    return made.select("grp", "n_candidates", F.array_join(each, "|").alias("candidates"), "chosen_score", "chosen_words")
 
 
 # ---------------------------------------------------------------- gate and seeds
@@ -473,13 +471,14 @@ def pair_report(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- datasets
-@query("SELECT text, doc_id, source FROM documents WHERE text <> '' AND text NOT IN (SELECT text FROM benchmark WHERE text IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+@query("SELECT text, doc_id, source, round((doc_id % 7) / 7.0::DOUBLE, 6) AS overall_score FROM documents WHERE text <> '' AND text NOT IN (SELECT text FROM benchmark WHERE text IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
 def repo_dataset(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("row_idx"), F.col("doc_id").cast("string").alias("id"), F.lit("human").alias("label"), "text", "source")
     base = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.lit("").alias("id"), F.lit("ai").alias("label"), F.lit("").alias("domain"), "text", F.lit("benchmark").alias("source"), F.lit("x").alias("generator"), F.lit(0.0).alias("overall_score"))
-    scores = docs.select("id", F.lit(None).cast("double").alias("overall_score")).limit(0)
+    early = docs.select("id", F.col("row_idx") * 2, (F.col("row_idx") % 10 / 10.0))
+    scores = early.union(docs.select("id", F.col("row_idx") * 2 + 1, F.col("row_idx") % 7 / 7.0)).toDF("id", "row_idx", "overall_score")  # the last one counts
     rows = D.extend_with_new_texts(base, docs, scores).filter("id <> ''")
-    return rows.select("text", F.expr("try_cast(id AS BIGINT)").alias("doc_id"), "source")
+    return rows.select("text", F.expr("try_cast(id AS BIGINT)").alias("doc_id"), "source", F.round("overall_score", 6).alias("overall_score"))
 
 
 @query("SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 25")
@@ -496,17 +495,19 @@ def diagnostics(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT item_id, 'triple_' || printf('%03d', item_id) || CASE WHEN item_id % 3 = 0 THEN '_human' WHEN item_id % 3 = 1 THEN '_ai' ELSE '_humanized' END AS id, substr(text, 1, 20) AS preview, text FROM benchmark)
-SELECT id, regexp_extract(id, '_([a-z]+)$', 1) AS label, CASE WHEN item_id % 3 = 2 OR item_id >= 30 THEN preview ELSE text END AS text,
-  CASE WHEN item_id % 3 = 0 THEN FALSE WHEN item_id % 3 = 1 THEN item_id >= 30 ELSE TRUE END AS text_is_preview FROM s"""
+    """WITH s AS (SELECT item_id, length(text) AS n, 'triple_' || printf('%03d', item_id) || CASE WHEN item_id % 3 = 0 THEN '_human' WHEN item_id % 3 = 1 THEN '_ai' ELSE '_humanized' END AS id, substr(text, 1, 20) AS preview, text FROM benchmark)
+SELECT id, regexp_extract(id, '_([a-z]+)$', 1) AS label, CASE WHEN (item_id % 3 = 1 AND n <= 150) OR (item_id % 3 = 2 AND n > 150) THEN preview ELSE text END AS text,
+  (item_id % 3 = 1 AND n <= 150) OR (item_id % 3 = 2 AND n > 150) AS text_is_preview FROM s"""
 )
 def mvp_dataset(spark, sf_dir):
+    # long items have a machine-styled text, short ones a rewrite; the others fall back to previews
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("pos"), "text")
     label = F.when(F.col("pos") % 3 == 0, "human").when(F.col("pos") % 3 == 1, "ai").otherwise("humanized")
     scored = items.select(F.col("pos").alias("row_idx"), F.concat(F.format_string("triple_%03d_", "pos"), label).alias("id"), F.substring("text", 1, 20).alias("text_preview"), F.lit(0.5).alias("overall_score"))
-    side = items.filter("pos < 30").select("pos", F.col("text").alias("response"))
+    side = items.select("pos", F.col("text").alias("response"))
     seeds = side.withColumns({"domain": F.lit("email"), "instruction": F.lit(""), "source": F.lit("curated")})
-    return D.build_from_artifacts(scored, seeds, side, side.limit(0)).select("id", "label", "text", "text_is_preview")
+    long = F.length("response") > 150
+    return D.build_from_artifacts(scored, seeds, side.filter(long), side.filter(~long)).select("id", "label", "text", "text_is_preview")
 
 
 @query("SELECT 'core' AS split, doc_id AS id, coalesce(lang, 'unknown') AS domain FROM documents UNION ALL SELECT 'ood', doc_id, coalesce(lang, 'unknown') FROM documents WHERE doc_id % 2 = 1")
