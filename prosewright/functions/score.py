@@ -109,6 +109,11 @@ def with_scores(df: DataFrame, columns: list[str], weights: dict[str, float] | N
     return out.withColumns({f"{c}_score": overall(F.col(f"{c}_dims"), weights) for c in columns})
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Rounded as Python does: ties are those of the binary value, and go to the even digit."""
+    return F.replace(F.format_number(value, digits), F.lit(","), F.lit("")).cast("double")
+
+
 def combine(layer1: Column, layer2: Column, weight1: float = 0.4, weight2: float = 0.6) -> Column:
     return layer1 * weight1 + layer2 * weight2
 

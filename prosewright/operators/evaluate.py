@@ -108,7 +108,7 @@ def layer_aurocs(rows: DataFrame) -> DataFrame:
 
 def rounded_dims(dims: Column) -> Column:
     """A map of dimensions to four digits."""
-    return F.transform_values(dims, lambda k, v: F.round(v, 4))
+    return F.transform_values(dims, lambda k, v: S.rounded(v, 4))
 
 
 def combined_records(rows: DataFrame) -> DataFrame:
@@ -116,20 +116,20 @@ def combined_records(rows: DataFrame) -> DataFrame:
     l1 = F.map_from_arrays(F.array(*map(F.lit, S.DIMENSIONS)), F.array(*[F.col(f"dims.{d}") / 10.0 for d in S.DIMENSIONS]))
     spoken = F.col("l2_overall").isNotNull()
     return rows.select(
-        "label", F.round("score", 4).alias("l1_overall"), l1.alias("l1_per_dim"), F.round("l2_overall", 4).alias("l2_overall"), F.when(spoken, rounded_dims(F.col("l2_per_dim"))).alias("l2_per_dim"),
-        F.when(spoken, F.col("raw")).alias("l2_raw"), F.when(spoken, F.col("reasoning")).alias("l2_reasoning"), F.round("final", 4).alias("combined_overall"), T.preview(T.text_of(F.col("text")), 150).alias("text_preview"),
+        "label", S.rounded(F.col("score"), 4).alias("l1_overall"), l1.alias("l1_per_dim"), S.rounded(F.col("l2_overall"), 4).alias("l2_overall"), F.when(spoken, rounded_dims(F.col("l2_per_dim"))).alias("l2_per_dim"),
+        F.when(spoken, F.col("raw")).alias("l2_raw"), F.when(spoken, F.col("reasoning")).alias("l2_reasoning"), S.rounded(F.col("final"), 4).alias("combined_overall"), T.preview(T.text_of(F.col("text")), 150).alias("text_preview"),
     )
 
 
 def scored_records(rows: DataFrame) -> DataFrame:
     """Scored samples as they are exported: four digits, a preview of 100 characters."""
     dims = F.map_from_arrays(F.array(*map(F.lit, S.DIMENSIONS)), F.array(*[F.col(f"dims.{d}") / 10.0 for d in S.DIMENSIONS]))
-    return rows.select("id", "label", F.coalesce("source", F.lit("unknown")).alias("source"), F.round("score", 4).alias("overall_score"), dims.alias("per_dim"), T.preview(T.text_of(F.col("text")), 100, "...").alias("text_preview"))
+    return rows.select("id", "label", F.coalesce("source", F.lit("unknown")).alias("source"), S.rounded(F.col("score"), 4).alias("overall_score"), dims.alias("per_dim"), T.preview(T.text_of(F.col("text")), 100, "...").alias("text_preview"))
 
 
 def accepted_pairs(gated: DataFrame) -> DataFrame:
     """Training pairs of the triples that the gate accepted."""
-    return gated.filter("accepted").select("id", "domain", F.col("aiified").alias("input"), F.col("humanized").alias("output"), F.round("humanize_delta", 4).alias("humanize_delta"), F.round("aiify_delta", 4).alias("aiify_delta"), "suspicion_flags")
+    return gated.filter("accepted").select("id", "domain", F.col("aiified").alias("input"), F.col("humanized").alias("output"), S.rounded(F.col("humanize_delta"), 4).alias("humanize_delta"), S.rounded(F.col("aiify_delta"), 4).alias("aiify_delta"), "suspicion_flags")
 
 
 def review_queue(diagnostics: DataFrame, most: int = 10, order: str = "row_idx") -> DataFrame:

@@ -198,3 +198,11 @@ def test_rewrite_and_length(spark):
     assert sorted((r["id"], r["response"]) for r in got.collect()) == [(str(i), "REWRITE: " + "W" * n) for i, n in [(2, 41), (3, 4086), (4, 4087)]]
     assert J.length_bounds({"filters": {"length": {"min_length": 10, "max_length": 20}}}) == (10, 20)
     assert J.length_bounds({"filters": [{"type": "length", "min": 5, "max": 7}]}) == (5, 7) and J.length_bounds({}) == (50, 4096)
+
+
+def test_rounding_is_pythons(spark):
+    rng = random.Random(2)
+    values = [2.675, 1.005, 0.125, 0.375, -0.125, 1e-9, 123456.78905, 0.0, 0.28125, 1234.00005] + [rng.uniform(-9, 9) for _ in range(300)] + [rng.randrange(10**6) / 10**5 for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (2, 4):
+        assert [r[0] + 0.0 for r in df.select(S.rounded(df.v, digits)).collect()] == [round(v, digits) + 0.0 for v in values]
