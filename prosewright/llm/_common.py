@@ -72,7 +72,7 @@ class Scratch:
                 p.getFileSystem(conf).delete(p, True)
 
 
-def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph, by alternating stars.
 
     ``edges`` has long columns ``a`` and ``b``. Returns one row per vertex of
@@ -84,7 +84,7 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> Data
     smaller ones likewise ("small star"). Minima are partial aggregates, and
     they are written before they are joined, so a vertex with very many
     neighbours never meets in one task: Spark can split that join. The number
-    of rounds grows with the logarithm of the longest chain.
+    of rounds grows with the logarithm of the longest chain, and is not bounded.
     """
     u, v = F.col("u"), F.col("v")
     edge = scratch.cut(
@@ -97,9 +97,7 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> Data
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
     before = mark(edge)
-    for _ in range(max_rounds):
-        if before[0] == 0:
-            break
+    while before[0]:
         both = edge.select(u.alias("x"), v.alias("y")).union(edge.select(v.alias("x"), u.alias("y")))
         low = scratch.cut(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")))
         large = scratch.cut(
@@ -113,8 +111,6 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> Data
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edge.select(u.alias("id"), v.alias("component")).union(
         edge.select(v.alias("id"), v.alias("component")).distinct()
     )
