@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosewright.functions import score as S
-from prosewright.sources.io import with_position
+from prosewright.functions.text import strip
+from prosewright.sources.io import domain_by_text, with_position
 
 
 def join_by_position(aiified: DataFrame, humanized: DataFrame) -> DataFrame:
@@ -23,6 +24,13 @@ def join_by_text(aiified: DataFrame, humanized: DataFrame) -> DataFrame:
     return a.join(h, "aiified")
 
 
+def with_domain(triples: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Triples with the domain of the seed whose text, without white space at its ends, is theirs; ``unknown`` without one."""
+    domains = domain_by_text(seeds).withColumnsRenamed({"original": "__original", "domain": "__domain"})
+    out = triples.join(domains, strip(F.col("original")) == F.col("__original"), "left")
+    return out.withColumn("domain", F.coalesce("__domain", F.lit("unknown"))).drop("__original", "__domain")
+
+
 def recovery(human: Column, aiify: Column) -> Column:
     """0 where the first delta is 0; negative values are kept."""
     return F.when(aiify == 0, F.lit(0.0)).otherwise(human / F.when(aiify != 0, aiify))

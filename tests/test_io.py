@@ -200,3 +200,27 @@ def test_stream_scores_equal_table_scores(spark, tmp_path):
     q.awaitTermination(120)
     got = {r["id"]: r["text_score"] for r in spark.table("scored_stream").collect()}
     assert got == {r["id"]: r["text_score"] for r in S.with_scores(rows, ["text"]).collect()} and len(got) == 8
+
+
+def test_seeds_round_trip(spark, tmp_path):
+    bundles = [("e1", " Hi Mike, it's 42% now. ", "email", "request", "note"), ("t1", "Use v3.14.1 of `it`.", "instruction_technical", "troubleshooting", None), ("b1", "A day.", "blog_opinion", "anecdote", None)]
+    seeds = G.build_seeds(spark.createDataFrame(bundles, "id string, text string, domain string, discourse_role string, notes string"))
+    assert all(not r["violations"] for r in seeds.collect())
+    io.write_jsonl(G.seed_rows(seeds), str(tmp_path / "seeds"))
+    rows = [json.loads(x) for x in lines_of(tmp_path / "seeds")]
+    assert sorted(rows[0]) == sorted(G.SEED_COLUMNS)
+    back = {r["id"]: r for r in io.read_jsonl(spark, str(tmp_path / "seeds"), io.SEED).collect()}
+    assert back["e1"]["response"] == "Hi Mike, it's 42% now." and (back["t1"]["word_count"], back["t1"]["anchors_count"], back["t1"]["length_band"]) == (6, 2, "short")
+    assert back["b1"]["instruction"] == "Write in the style of: blog_opinion." and back["e1"]["instruction"].startswith("Write a short professional email")
+    kept = G.seed_rows(seeds.withColumn("instruction", F.when(F.col("id") == "b1", "own").otherwise(""))).collect()
+    assert {r["id"]: r["instruction"] for r in kept}["b1"] == "own"
+
+
+def test_domains_by_the_original_text(spark):
+    triples = spark.createDataFrame([("1", "a text "), ("2", "other")], "id string, original string")
+    seeds = spark.createDataFrame([(0, "a text", "old"), (1, "  a text", "email")], "row_idx int, response string, domain string")
+    assert {r["id"]: r["domain"] for r in R.with_domain(triples, seeds).collect()} == {"1": "email", "2": "unknown"}
+    # two hops: selected texts to their originals' scores
+    selected = spark.createDataFrame([("a text ", "styled"), ("gone", "x")], "original string, response string")
+    scores = spark.createDataFrame([("a text ", 0.8)], "original string, score double")
+    assert [tuple(r) for r in C.original_scores(selected, scores).collect()] == [("styled", 0.8)]
