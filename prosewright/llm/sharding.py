@@ -7,9 +7,10 @@ the block sizes alone. Then each block is permuted locally and dealt out by its
 row of the matrix, and each shard is permuted again by its own random order.
 Shards get their exact sizes, at most one row apart (the law ``rows``).
 
-Blocks are drawn by a hash of the row's place in a written digest, not by any
-value of the row, so no value, however frequent, makes a large block; their
-number follows the session's shuffle partitions. The slot inside a shard is
+Blocks are the input's own partitions: each task sorts its rows by a random
+number and writes them with their places, so the local permutation moves
+nothing between tasks, and what was written stays when tasks are repeated. The
+one exchange of rows is that into shards. The slot inside a shard is
 the number of rows in the shard's lower buckets plus the rank in the own
 bucket, so that no task holds a whole shard.
 
@@ -93,9 +94,13 @@ def deal(rows: DataFrame, scratch: Scratch, n_shards: int, seed: int = 1) -> Dat
 def _dealt(rows: DataFrame, scratch: Scratch, n_shards: int, seed: int) -> DataFrame:
     spark = rows.sparkSession
     # with very many shards blocks are fewer and larger
-    n_blocks = max(1, min(MAX_BLOCKS, MAX_CELLS // n_shards, max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    kept = scratch.cut(rows.withColumn("__n", F.monotonically_increasing_id()))
-    placed = kept.withColumn("__block", F.pmod(_coin(seed, "__n"), F.lit(n_blocks)).cast("int"))
+    most = max(1, min(MAX_BLOCKS, MAX_CELLS // n_shards))
+    if rows.rdd.getNumPartitions() > most:
+        rows = rows.coalesce(most)
+    # equal rows draw equal numbers: which of them comes first makes no difference
+    permuted = rows.withColumn("__coin", _coin(seed, *rows.columns)).sortWithinPartitions("__coin").drop("__coin")
+    kept = scratch.cut(permuted.withColumn("__n", F.monotonically_increasing_id()))
+    placed = kept.withColumns({"__block": F.shiftright("__n", 33).cast("int"), "__rank": F.col("__n").bitwiseAND(F.lit((1 << 33) - 1)) + 1})
     counted = {r["__block"]: r["count"] for r in placed.groupBy("__block").count().collect()}
     blocks = sorted(counted)
     sizes = shard_sizes(sum(counted.values()), n_shards)
@@ -104,11 +109,9 @@ def _dealt(rows: DataFrame, scratch: Scratch, n_shards: int, seed: int) -> DataF
         for b, row in zip(blocks, communication_matrix([counted[b] for b in blocks], sizes, seed), strict=True)
     ]
     matrix = spark.createDataFrame(bounds, "__block int, __bounds array<long>")
-    local = Window.partitionBy("__block").orderBy(_coin(seed + 1, "__n"), "__n")
-    ranked = placed.withColumn("__rank", F.row_number().over(local).cast("long"))
-    n_buckets = max(1, n_blocks // n_shards) * 2
+    n_buckets = max(1, max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))) // n_shards) * 2
     dealt = scratch.cut(
-        ranked.join(matrix, "__block")
+        placed.join(matrix, "__block")
         .withColumn("shard", F.size(F.filter("__bounds", lambda b: b < F.col("__rank"))))
         .withColumn("__coin", _coin(seed + 2, "__n"))
         .withColumn("__bucket", F.shiftrightunsigned("__coin", 33) * F.lit(n_buckets) / F.lit(1 << 31))
