@@ -450,7 +450,7 @@ def dim_means(spark, sf_dir):
     return report.dim_means(_classes(spark, sf_dir))
 
 
-@query(f"{CLASSES} SELECT count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(CAST(score < 0.5 AS INT)), 6) AS frac_below_05, round(avg(CAST(score < 0.7 AS INT)), 6) AS frac_below_07 FROM classes WHERE label = 'ai'")
+@query(f"{CLASSES} SELECT count(*) AS n, round(avg(score) + 1e-9, 6) AS mean_score, round(avg(CAST(score < 0.5 AS INT)), 6) AS frac_below_05, round(avg(CAST(score < 0.7 AS INT)), 6) AS frac_below_07 FROM classes WHERE label = 'ai'")
 def ood_summary(spark, sf_dir):
     return M.ood_summary(_classes(spark, sf_dir, ("ai",)))
 
