@@ -167,7 +167,8 @@ def near_pairs(fps: DataFrame, max_bits: int = 4, pieces: int = 3) -> DataFrame:
     left = fps.select(F.col("fp").alias("a"), F.explode(F.array(*homes)).alias("anchor"))
     right = fps.select(F.col("fp").alias("b"), F.explode(F.concat(*replicas)).alias("anchor"))
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    return left.join(right, (left["anchor"] == right["anchor"]) & close).select("a", "b")
+    # Spark takes the exploded side for as small as the file below it, and would send all replicas by way of the driver
+    return left.hint("merge").join(right, (left["anchor"] == right["anchor"]) & close).select("a", "b")
 
 
 def simhash_groups(

@@ -55,3 +55,10 @@ def test_query_equals_brute_force(spark):
 
 def test_more_fingerprints_ask_for_larger_pieces():
     assert simhash.pieces_for(1000) == 3 and simhash.pieces_for(10**9) == 2
+
+
+@pytest.mark.parametrize("pieces", [2, 3])
+def test_replicas_are_not_broadcast(spark, tmp_path, pieces):
+    spark.range(1000).selectExpr("xxhash64(id) AS fp").write.parquet(f"{tmp_path}/fps")
+    plan = simhash.near_pairs(spark.read.parquet(f"{tmp_path}/fps"), 4, pieces)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
