@@ -19,9 +19,13 @@ anchors. Fingerprints that crowd under an anchor are an equi-join's frequent
 key, which Spark splits.
 
 The pipeline's stage (``keep_one_of_each``) is by similarity of the shingle
-sets, which such a radius cannot reach: at a Jaccard similarity of 0.8 the
-fingerprints differ in about 10 bits. Its candidates come from MinHash bands
-and are verified by the exact similarity of their sets.
+sets: at a Jaccard similarity of 0.8 about 0.15 of a fingerprint's bits differ,
+which no radius reaches in pieces that many fingerprints can be told apart by.
+So its fingerprints have 1,024 bits, votes of the distinct shingles, and each is
+put under its home anchor in some hundreds of pieces drawn from them, without
+replicas; the number of pieces gives a pair at 0.8 its chance to meet.
+Fingerprints that meet are compared, and near ones verified by the exact
+similarity of their sets.
 
 Defined results: a null or wordless text has fingerprint 0 and links like any
 other; a null id is kept as a row of its own group by fingerprint (its
@@ -37,19 +41,20 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prosewright.llm._common import Scratch, components
 
 HAMMING = 15
 CHUNK = 1 << 14
-#: MinHash bands and rows in each: at a similarity of 0.8 all bands of a pair differ in 3 of a million cases.
-BANDS, ROWS = 24, 4
+#: Bits of a set's fingerprint; of a piece's bits besides the code's at most; compared before the sets are; of those that may
+#: differ: a pair at 0.8 differs in 19 of 128 on average with a deviation of 4, a pair without common shingles in 64, deviation 6.
+BITS, MOST_FREE, CHECKED, MOST_APART = 1024, 17, 128, 42
 #: Ids of candidates, 8 bytes each, that are sent to all executors at most.
 MOST_SENT = 2_000_000
-_RANDOM = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
-_SALTS, _ODD = _RANDOM[0], _RANDOM[1] | np.uint64(1)
+_SALTS, _ODD = np.random.default_rng(42).integers(0, 2**64, (2, BITS // 64), np.uint64)
+_ODD |= np.uint64(1)
 
 
 def fingerprint(text: str | bytes | None, words: int = 4, seed: int = 42) -> int:
@@ -114,6 +119,10 @@ def syndrome_of(mask: int) -> int:
     return s
 
 
+#: Of each word of 15 bits: its word of the code.
+_HOMES = np.array([v ^ (1 << (x - 1) if (x := syndrome_of(v)) else 0) for v in range(1 << HAMMING)])
+
+
 def flips(width: int, radius: int) -> list[list[int]]:
     """For each syndrome, the bits to flip to reach every anchor within ``radius``."""
     out: list[list[int]] = [[] for _ in range(HAMMING + 1)]
@@ -220,22 +229,72 @@ def shingle_set(text: str | bytes | None, words: int = 5, seed: int = 42) -> np.
     return np.unique(np.fromiter((digest(joined[at[i] : at[min(i + words, len(split))] - 1], seed) for i in range(n)), np.uint64, n))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One key for each band of a set's MinHash values; none for an empty set."""
+def set_print(shingles: np.ndarray) -> np.ndarray:
+    """The ``BITS`` bits of a set's fingerprint, as bytes: votes of its hashes, mixed anew for each 64 bits, and one vote
+    that all sets have (without it ties make sets of four or five shingles differ in more bits); none for an empty set."""
     if not len(shingles):
-        return np.zeros(0, np.uint64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(shingles), 1024):
-        np.minimum(least, ((shingles[k : k + 1024, None] ^ _SALTS) * _ODD).min(axis=0), out=least)
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        keys = (keys ^ column) * _ODD[:BANDS]
-        keys ^= keys >> np.uint64(31)
-    return keys
+        return np.zeros(0, np.uint8)
+    ones = np.unpackbits(_SALTS.view(np.uint8), bitorder="little").astype(np.int64)
+    for k in range(0, len(shingles), 255):
+        mixed = (shingles[k : k + 255, None] ^ _SALTS) * _ODD
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= _ODD
+        mixed ^= mixed >> np.uint64(29)
+        bits = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.uint8)  # of 255 rows at most
+    return np.packbits(ones * 2 > len(shingles) + 1, bitorder="little")
+
+
+def free_bits(n: int) -> int:
+    """Bits of a piece besides those of the code, for ``n`` sets: four anchors or more for each set, up to 2**26 sets."""
+    return min(max(n.bit_length() - 9, 4), MOST_FREE)
+
+
+def pieces_at(free: int) -> int:
+    """Pieces for which a pair with 0.175 of its bits differing shares no home in one of 1,000 cases.
+
+    At a similarity of 0.8 that is the mean of 0.152 and two deviations. The home
+    of 15 bits is then the same with a chance of 0.111, each free bit with 0.825."""
+    return int(np.ceil(np.log(1e3) / (0.111 * 0.825**free)))
+
+
+_PLACES = np.random.default_rng(43).permuted(np.tile(np.arange(BITS, dtype=np.int16), (pieces_at(MOST_FREE), 1)), axis=1)[:, : HAMMING + MOST_FREE].copy()
+
+
+def anchors(prints: np.ndarray, free: int) -> np.ndarray:
+    """The home anchor of each piece (rows) of each fingerprint (columns), with the piece's number above it.
+
+    A piece is 15 bits, whose home is their word of the Hamming code, and ``free`` bits that are anchors themselves."""
+    bits = np.unpackbits(prints, axis=1, bitorder="little").T
+    packed = np.packbits(bits[_PLACES[: pieces_at(free), : HAMMING + free]], axis=1, bitorder="little").astype(np.int64)
+    value = sum(packed[:, k] << 8 * k for k in range(packed.shape[1]))
+    home = _HOMES[value & (1 << HAMMING) - 1] | value >> HAMMING << HAMMING
+    return home | np.arange(len(home))[:, None] << 40
+
+
+def band_keys(shingles: np.ndarray, free: int = 9) -> np.ndarray:
+    """The home anchors of a set's fingerprint, one for each piece; none for an empty set."""
+    return anchors(set_print(shingles)[None, :], free)[:, 0].view(np.uint64) if len(shingles) else np.zeros(0, np.uint64)
+
+
+def anchor_rows(keyed: DataFrame, free: int) -> DataFrame:
+    """``key`` and ``id``: each set of ``keyed`` (id, print) under its home anchors."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
+                prints = [x for x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if x[1]]
+                if prints:
+                    keys = anchors(np.frombuffer(b"".join(x for _, x in prints), np.uint8).reshape(len(prints), -1), free)
+                    ids = np.tile(np.array([i for i, _ in prints], np.int64), len(keys))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "id"])
+
+    return keyed.select("id", "print").mapInArrow(rows, "key long, id long")
 
 
 def shingle_rows(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id``, ``same`` (equal for equal sets), ``keys`` and ``shingles``."""
+    """One row per document: ``doc_id``, ``same`` (equal for equal sets), ``print`` (its set's fingerprint) and ``shingles``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -245,11 +304,17 @@ def shingle_rows(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
                 part = batch.slice(start, 512)
                 sets = [shingle_set(t, words) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 same = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-                longs = [pa.array([x.view(np.int64) for x in column], pa.list_(pa.int64())) for column in (map(band_keys, sets), sets)]
-                yield pa.RecordBatch.from_arrays([part.column(0), same, *longs], ["doc_id", "same", "keys", "shingles"])
+                prints = pa.array([set_print(s).tobytes() for s in sets], pa.binary())
+                longs = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), same, prints, longs], ["doc_id", "same", "print", "shingles"])
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return read.mapInArrow(rows, "doc_id long, same binary, keys array<long>, shingles array<long>")
+    return read.mapInArrow(rows, "doc_id long, same binary, print binary, shingles array<long>")
+
+
+def _apart(one: str, two: str) -> Column:
+    """Differing bits of two fingerprints, of the first ``CHECKED``."""
+    return sum((F.bit_count(F.col(f"{one}{k}").bitwiseXOR(F.col(f"{two}{k}"))) for k in range(CHECKED // 64)), F.lit(0))
 
 
 def _alike(x: str, y: str, similarity: float) -> Column:
@@ -261,38 +326,49 @@ def _alike(x: str, y: str, similarity: float) -> Column:
 
 
 def similar_sets(scratch: Scratch, keyed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``id`` and ``component`` of the sets in written ``keyed`` (id, keys) linked at that similarity; ``sets`` (id, shingles) is written too.
-
-    Sets meet in the buckets of their MinHash bands. In each bucket the
-    smallest id is compared with all others. Then, in buckets whose others are
-    not all linked by that, each set outside the component that most belong to
-    is compared with all sets of other components, within the join: a group of
-    near copies makes rows in proportion to its size, and no pair that meets
-    and could join two components goes unlooked at.
+    """``id`` and ``component`` of the sets in written ``keyed`` (id, print) linked at that similarity; ``sets`` (id, shingles) is written too.
+
+    Sets meet under the home anchors of their fingerprints. Under each anchor
+    the smallest id is compared with all others. Then, under anchors whose
+    others are not all linked by that, each set outside the component that most
+    belong to is compared with all sets of other components: a group of near
+    copies makes rows in proportion to its size, and no pair that meets and
+    could join two components goes unlooked at. A comparison is of
+    ``CHECKED`` bits of the fingerprints, then exactly of the sets.
     """
-    again = scratch.again
-    members = scratch.cut(keyed.select("id", F.explode("keys").alias("key")))
-    low = scratch.cut(again(members).groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).filter("n > 1").select("key", "low"))
-    others = scratch.cut(members.join(low, "key").filter("id != low").select("key", "id", "low"))
-    pairs = scratch.cut(again(others).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
-    wanted = scratch.cut(again(pairs).select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
-    some = scratch.cut(again(sets).select("id", "keys", "shingles").join(wanted, "id", "left_semi"))
-    one, two = again(some).select(F.col("id").alias("a"), F.col("shingles").alias("x")), again(some).select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    links = scratch.cut(pairs.join(two, "b").join(one, "a").filter(_alike("x", "y", similarity)).select("a", "b"))
+    again, c = scratch.again, F.col
+    words = [F.conv(F.hex(F.substring("print", 1 + 8 * k, 8)), 16, -10).cast("long").alias(f"w{k}") for k in range(CHECKED // 64)]
+    prints = scratch.cut(again(keyed).filter("length(print) > 0").select("id", *words))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """The distinct pairs ``a``, ``b`` whose fingerprints are near."""
+        for side in "ab":
+            pairs = pairs.join(again(prints).select(c("id").alias(side), *[c(f"w{k}").alias(f"{side}{k}") for k in range(CHECKED // 64)]), side)
+        return pairs.filter(_apart("a", "b") <= MOST_APART).select("a", "b").distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of written ``pairs`` whose sets are alike."""
+        wanted = scratch.cut(again(pairs).select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        wanted = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
+        some = scratch.cut(again(sets).select("id", "shingles").join(wanted, "id", "left_semi"))
+        one, two = again(some).select(c("id").alias("a"), c("shingles").alias("x")), again(some).select(c("id").alias("b"), c("shingles").alias("y"))
+        return scratch.cut(again(pairs).join(two, "b").join(one, "a").filter(_alike("x", "y", similarity)).select("a", "b"))
+
+    met = anchor_rows(again(keyed), free_bits(prints.count()))
+    others = scratch.cut(met.withColumn("low", F.min("id").over(Window.partitionBy("key"))).filter("id != low"))
+    links = verified(scratch.cut(near(again(others).select(c("low").alias("a"), c("id").alias("b")))))
     linked = scratch.cut(components(scratch, again(links)))
 
     rest = scratch.cut(again(others).select("key", "id").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id")))
     per = scratch.cut(again(rest).groupBy("key", "component").agg(F.count("*").alias("m")))
     mixed = scratch.cut(per.groupBy("key").agg(F.max_by("component", "m").alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main"))
-    rest = scratch.cut(rest.join(mixed, "key").join(again(some), "id"))
-    c = F.col
-    out = again(rest).filter("component != main").select("key", c("id").alias("a"), c("component").alias("c"), c("keys").alias("k"), c("shingles").alias("x"))
-    all_ = again(rest).select("key", c("id").alias("b"), c("component").alias("d"), "main", c("keys").alias("l"), c("shingles").alias("y"))
-    # in the first bucket that both are in
-    once = (c("c") != c("d")) & ((c("a") < c("b")) | (c("d") == c("main"))) & (F.get(F.array_intersect("k", "l"), F.lit(0)) == out["key"])
-    more = scratch.cut(out.join(all_, (out["key"] == all_["key"]) & once & _alike("x", "y", similarity)).select("a", "b"))
-    return components(scratch, again(links).union(more))
+    rest = scratch.cut(rest.join(mixed, "key").join(again(prints), "id"))
+    sides = [[c(f"w{k}").alias(f"{side}{k}") for k in range(CHECKED // 64)] for side in "ab"]
+    out = again(rest).filter("component != main").select("key", c("id").alias("a"), c("component").alias("c"), *sides[0])
+    all_ = again(rest).select("key", c("id").alias("b"), c("component").alias("d"), "main", *sides[1])
+    other = (c("c") != c("d")) & ((c("a") < c("b")) | (c("d") == c("main"))) & (_apart("a", "b") <= MOST_APART)
+    more = verified(scratch.cut(out.join(all_, (out["key"] == all_["key"]) & other).select("a", "b").distinct()))
+    return components(scratch, again(links).union(again(more)))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -303,7 +379,7 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     scratch = Scratch(docs.sparkSession)
     own = scratch.cut(shingle_rows(docs, words).withColumn("id", F.monotonically_increasing_id()))
     distinct = scratch.cut(own.groupBy("same").agg(F.min("doc_id").alias("first_id"), F.min("id").alias("id")))
-    chosen = scratch.again(own).select("id", "keys").join(distinct.select("id"), "id", "left_semi")
+    chosen = scratch.again(own).select("id", "print").join(distinct.select("id"), "id", "left_semi")
     sets = scratch.cut(chosen)
     linked = similar_sets(scratch, sets, own, similarity)
     parts = scratch.cut(scratch.again(distinct).join(linked, "id", "left").withColumn("component", F.coalesce("component", "id")))

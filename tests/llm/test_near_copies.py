@@ -45,3 +45,36 @@ def test_bands_of_pairs_at_0_8_meet():
         a, b = (simhash.band_keys(simhash.np.array(sorted(common + own), "u8")) for own in (one, two))
         met += bool((a == b).any())
     assert met == 300
+
+
+def test_fingerprints_and_home_anchors_equal_plain_ones():
+    rng, free = random.Random(10), 5
+    sets = [simhash.np.array(sorted(rng.getrandbits(64) for _ in range(n)), "u8") for n in (1, 2, 300, 900)]
+    m = 2**64 - 1
+    for s in sets:
+        votes = [int(x) >> b & 1 for x in simhash._SALTS for b in range(64)]
+        for h in s.tolist():
+            for k, (salt, odd) in enumerate(zip(simhash._SALTS.tolist(), simhash._ODD.tolist(), strict=True)):
+                x = (h ^ salt) * odd & m
+                x = (x ^ x >> 32) * odd & m
+                x ^= x >> 29
+                for b in range(64):
+                    votes[64 * k + b] += x >> b & 1
+        bits = [v * 2 > len(s) + 1 for v in votes]
+        assert simhash.np.unpackbits(simhash.set_print(s), bitorder="little").tolist() == bits
+        words = [w for w in range(1 << 15) if simhash.syndrome_of(w) == 0]
+        for k, key in enumerate(simhash.band_keys(s, free).tolist()[:20]):
+            value = sum(bits[at] << i for i, at in enumerate(simhash._PLACES[k][: 15 + free].tolist()))
+            home = min(words, key=lambda w: (w ^ value & 0x7FFF).bit_count())
+            assert (home ^ value & 0x7FFF).bit_count() <= 1 and key == k << 40 | value >> 15 << 15 | home
+
+
+def test_near_copies_meet_by_anchors_of_fingerprints(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(300)]
+    texts = [" ".join(edited(rng, base, 0.003)) for _ in range(12)] + ["", None, "one two", "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(docs).collect()) == [0, 12, 14]
+    monkeypatch.setattr(simhash, "anchor_rows", lambda keyed, free: spark.createDataFrame([], "key long, id long"))
+    alone = {frozenset(shingles(t or "")) for t in texts}
+    assert simhash.keep_one_of_each(docs).count() == len(alone) > 3
