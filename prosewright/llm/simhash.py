@@ -48,11 +48,14 @@ from prosewright.llm._common import Scratch, components
 
 HAMMING = 15
 CHUNK = 1 << 14
-#: Bits of a set's fingerprint; of a piece's bits besides the code's at most; compared before the sets are; of those that may
-#: differ: a pair at 0.8 differs in 19 of 128 on average with a deviation of 4, a pair without common shingles in 64, deviation 6.
-BITS, MOST_FREE, CHECKED, MOST_APART = 1024, 17, 128, 42
+#: Bits of a set's fingerprint; of a piece's bits besides the code's at most.
+BITS, MOST_FREE = 1024, 17
+#: Bits compared before the sets are, and of those that may differ, first and last: a pair at 0.8 differs in 0.152 of them
+#: (19 of 128 on average with a deviation of 4, 156 of 1,024 with one of 12), a pair without common shingles in half.
+CHECKED, MOST_APART, MOST_APART_OF_ALL = 128, 42, 230
 #: Ids of candidates, 8 bytes each, that are sent to all executors at most.
 MOST_SENT = 2_000_000
+SLACK = 1e-6
 _SALTS, _ODD = np.random.default_rng(42).integers(0, 2**64, (2, BITS // 64), np.uint64)
 _ODD |= np.uint64(1)
 
@@ -312,39 +315,52 @@ def shingle_rows(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
     return read.mapInArrow(rows, "doc_id long, same binary, print binary, shingles array<long>")
 
 
-def _apart(one: str, two: str) -> Column:
-    """Differing bits of two fingerprints, of the first ``CHECKED``."""
-    return sum((F.bit_count(F.col(f"{one}{k}").bitwiseXOR(F.col(f"{two}{k}"))) for k in range(CHECKED // 64)), F.lit(0))
+def _apart(one: str, two: str, bits: int = CHECKED) -> Column:
+    """Differing bits of two fingerprints, of the first ``bits``."""
+    return sum((F.bit_count(F.col(f"{one}{k}").bitwiseXOR(F.col(f"{two}{k}"))) for k in range(bits // 64)), F.lit(0))
+
+
+def _sizes_allow(one: Column, two: Column, similarity: float) -> Column:
+    """Whether sets of those sizes can have that similarity."""
+    return F.least(one, two) >= similarity * F.greatest(one, two) - SLACK
 
 
 def _alike(x: str, y: str, similarity: float) -> Column:
     """Whether two arrays of distinct values have that Jaccard similarity, exactly."""
-    one, two, slack = F.size(x), F.size(y), 1e-6
+    one, two = F.size(x), F.size(y)
     # common / (one + two - common) >= similarity, with common counted once
-    near = F.least(one, two) >= similarity * F.greatest(one, two) - slack
-    return near & (F.size(F.array_intersect(x, y)) * (1 + similarity) >= similarity * (one + two) - slack)
+    return _sizes_allow(one, two, similarity) & (F.size(F.array_intersect(x, y)) * (1 + similarity) >= similarity * (one + two) - SLACK)
 
 
 def similar_sets(scratch: Scratch, keyed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``id`` and ``component`` of the sets in written ``keyed`` (id, print) linked at that similarity; ``sets`` (id, shingles) is written too.
+    """``id`` and ``component`` of the sets in written ``keyed`` (id, print, size) linked at that similarity; ``sets`` (id, shingles) is written too.
 
-    Sets meet under the home anchors of their fingerprints. Under each anchor
+    The sets of ``keyed`` differ, and a set of ``n`` shingles has at most a
+    similarity of n / (n + 1) with another: those too small for a link stay out.
+    Others meet under the home anchors of their fingerprints. Under each anchor
     the smallest id is compared with all others. Then, under anchors whose
     others are not all linked by that, each set outside the component that most
     belong to is compared with all sets of other components: a group of near
     copies makes rows in proportion to its size, and no pair that meets and
-    could join two components goes unlooked at. A comparison is of
-    ``CHECKED`` bits of the fingerprints, then exactly of the sets.
+    could join two components goes unlooked at. A comparison is of the sizes
+    and the fingerprints (``CHECKED`` bits first where many meet), then exactly of the sets.
     """
-    again, c = scratch.again, F.col
-    words = [F.conv(F.hex(F.substring("print", 1 + 8 * k, 8)), 16, -10).cast("long").alias(f"w{k}") for k in range(CHECKED // 64)]
-    prints = scratch.cut(again(keyed).filter("length(print) > 0").select("id", *words))
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """The distinct pairs ``a``, ``b`` whose fingerprints are near."""
-        for side in "ab":
-            pairs = pairs.join(again(prints).select(c("id").alias(side), *[c(f"w{k}").alias(f"{side}{k}") for k in range(CHECKED // 64)]), side)
-        return pairs.filter(_apart("a", "b") <= MOST_APART).select("a", "b").distinct()
+    again, c, whole = scratch.again, F.col, range(BITS // 64)
+    word = lambda k: F.conv(F.hex(F.substring("print", 1 + 8 * k, 8)), 16, -10).cast("long")
+    linkable = _sizes_allow(c("size"), c("size") + 1, similarity)
+    prints = scratch.cut(again(keyed).filter(linkable).select("id", "size", *[word(k).alias(f"w{k}") for k in whole]))
+    side = lambda x, bits: [c("size").alias(f"{x}_size"), *[c(f"w{k}").alias(f"{x}{k}") for k in range(bits // 64)]]
+
+    def near(bits: int, most: int) -> Column:
+        return _sizes_allow(c("a_size"), c("b_size"), similarity) & (_apart("a", "b", bits) <= most)
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        """The distinct pairs ``a``, ``b`` whose fingerprints are near, in ``CHECKED`` bits and then in all."""
+        for bits, most in ((CHECKED, MOST_APART), (BITS, MOST_APART_OF_ALL)):
+            for x in "ab":
+                pairs = pairs.join(again(prints).select(c("id").alias(x), *side(x, bits)), x)
+            pairs = pairs.filter(near(bits, most)).select("a", "b").distinct()
+        return scratch.cut(pairs)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of written ``pairs`` whose sets are alike."""
@@ -354,19 +370,18 @@ def similar_sets(scratch: Scratch, keyed: DataFrame, sets: DataFrame, similarity
         one, two = again(some).select(c("id").alias("a"), c("shingles").alias("x")), again(some).select(c("id").alias("b"), c("shingles").alias("y"))
         return scratch.cut(again(pairs).join(two, "b").join(one, "a").filter(_alike("x", "y", similarity)).select("a", "b"))
 
-    met = anchor_rows(again(keyed), free_bits(prints.count()))
+    met = anchor_rows(again(keyed).filter(linkable), free_bits(prints.count()))
     others = scratch.cut(met.withColumn("low", F.min("id").over(Window.partitionBy("key"))).filter("id != low"))
-    links = verified(scratch.cut(near(again(others).select(c("low").alias("a"), c("id").alias("b")))))
+    links = verified(nearest(again(others).select(c("low").alias("a"), c("id").alias("b"))))
     linked = scratch.cut(components(scratch, again(links)))
 
     rest = scratch.cut(again(others).select("key", "id").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id")))
     per = scratch.cut(again(rest).groupBy("key", "component").agg(F.count("*").alias("m")))
     mixed = scratch.cut(per.groupBy("key").agg(F.max_by("component", "m").alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main"))
     rest = scratch.cut(rest.join(mixed, "key").join(again(prints), "id"))
-    sides = [[c(f"w{k}").alias(f"{side}{k}") for k in range(CHECKED // 64)] for side in "ab"]
-    out = again(rest).filter("component != main").select("key", c("id").alias("a"), c("component").alias("c"), *sides[0])
-    all_ = again(rest).select("key", c("id").alias("b"), c("component").alias("d"), "main", *sides[1])
-    other = (c("c") != c("d")) & ((c("a") < c("b")) | (c("d") == c("main"))) & (_apart("a", "b") <= MOST_APART)
+    out = again(rest).filter("component != main").select("key", c("id").alias("a"), c("component").alias("c"), *side("a", BITS))
+    all_ = again(rest).select("key", c("id").alias("b"), c("component").alias("d"), "main", *side("b", BITS))
+    other = (c("c") != c("d")) & ((c("a") < c("b")) | (c("d") == c("main"))) & near(BITS, MOST_APART_OF_ALL)
     more = verified(scratch.cut(out.join(all_, (out["key"] == all_["key"]) & other).select("a", "b").distinct()))
     return components(scratch, again(links).union(again(more)))
 
@@ -379,7 +394,7 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     scratch = Scratch(docs.sparkSession)
     own = scratch.cut(shingle_rows(docs, words).withColumn("id", F.monotonically_increasing_id()))
     distinct = scratch.cut(own.groupBy("same").agg(F.min("doc_id").alias("first_id"), F.min("id").alias("id")))
-    chosen = scratch.again(own).select("id", "print").join(distinct.select("id"), "id", "left_semi")
+    chosen = scratch.again(own).select("id", "print", F.size("shingles").alias("size")).join(distinct.select("id"), "id", "left_semi")
     sets = scratch.cut(chosen)
     linked = similar_sets(scratch, sets, own, similarity)
     parts = scratch.cut(scratch.again(distinct).join(linked, "id", "left").withColumn("component", F.coalesce("component", "id")))

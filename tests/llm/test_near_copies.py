@@ -78,3 +78,23 @@ def test_near_copies_meet_by_anchors_of_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(simhash, "anchor_rows", lambda keyed, free: spark.createDataFrame([], "key long, id long"))
     alone = {frozenset(shingles(t or "")) for t in texts}
     assert simhash.keep_one_of_each(docs).count() == len(alone) > 3
+
+
+def test_texts_that_cannot_link_make_few_candidates(spark, monkeypatch):
+    rng, made, cut = random.Random(13), [], simhash.Scratch.cut
+
+    def counted(self, df):
+        out = cut(self, df)
+        if out.columns == ["a", "b"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash.Scratch, "cut", counted)
+    base = [f"w{k}" for k in range(300)]
+    texts = [" ".join(edited(rng, base, 0.05)) for _ in range(150)] + [f"x{k} y" for k in range(400)]
+    at_bound = [f"z{k}" for k in range(9)]  # four of five shingles, and three of four
+    texts += [" ".join(at_bound), " ".join(at_bound[:8]), "p q r s t u v w", "p q r s t u v"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one_of_each(docs).collect()}
+    assert set(range(len(texts))) - kept == {551}
+    assert max(made) <= len(texts), made
